@@ -31,6 +31,8 @@ from ravelin.llm.text import BASE, U64, _power_tables, blocks, column, gram_hash
 WINDOW = 13
 GRAM = 6
 LAST = np.iinfo(np.int64).max
+#: The lowest 0 to 63 bits.
+MASKS = (U64(1) << np.arange(64, dtype=U64)) - U64(1)
 
 
 class FmIndex:
@@ -52,7 +54,7 @@ class FmIndex:
         while step < depth:
             key = rank * (int(rank.max()) + 2)
             key[:-step] += rank[step:] + 1
-            sa = np.argsort(key, kind="stable")
+            sa = np.argsort(key)
             s = key[sa]
             new = np.zeros(n, np.int64)
             new[1:] = np.cumsum(s[1:] != s[:-1])
@@ -72,22 +74,20 @@ class FmIndex:
             self.ranks.append(np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.int32))
             self.zeros.append(n - int(bit.sum()))
             bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
+        symbols = np.arange(len(words) + 1)
+        self.low = self._down(symbols, np.zeros(len(symbols), np.int64))  # where each symbol's range begins below the last level
 
-    def _rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """The number of c among the first i symbols of the transform."""
-        low = np.zeros(len(i), np.int64)  # where the range of c's prefix begins
+    def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Where the first i symbols of the transform lead, following the bits of c."""
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            one = ((c >> level) & 1).astype(bool)
-            bits, ranks = self.bits[k], self.ranks[k]
-
-            def ones(x, bits=bits, ranks=ranks):
-                w = x >> 6
-                return ranks[w] + np.bitwise_count(bits[w] & ((U64(1) << (x & 63).astype(U64)) - U64(1))).astype(np.int64)
+            w = i >> 6
+            ones = self.ranks[k][w] + np.bitwise_count(self.bits[k][w] & MASKS[i & 63])
+            i = np.where((c >> level) & 1, self.zeros[k] + ones, i - ones)
+        return i
 
-            a, b = ones(low), ones(i)
-            low = np.where(one, self.zeros[k] + a, low - a)
-            i = np.where(one, self.zeros[k] + b, i - b)
-        return i - low
+    def _rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The number of c among the first i symbols of the transform."""
+        return self._down(c, i) - self.low[c]
 
     def search(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The interval of each k words of the indexed sequences that begin at `at` (in seqs), by backward search.
@@ -256,19 +256,20 @@ def _send(shards: int):
         a, d = a[order], d[order]
         twice = np.union1d(twice, a[1:][(a[1:] == a[:-1]) & (d[1:] != d[:-1])])
         pick = [np.flatnonzero(np.isin(x.anchor, twice)) for x in parts]
-        key = np.concatenate([np.zeros(0, U64), *(x.keys()[i] for x, i in zip(parts, pick, strict=True))])
+        keys = [x.keys()[i] for x, i in zip(parts, pick, strict=True)]
+        key = np.concatenate([np.zeros(0, U64), *keys])
         doc = np.concatenate([np.zeros(0, np.int64), *(x.doc[x.owner[i]] for x, i in zip(parts, pick, strict=True))])
         seen, first, inv = np.unique(key, return_index=True, return_inverse=True)
         least = np.full(len(seen), LAST, np.int64)
         np.minimum.at(least, inv, doc)
         rows: dict[int, list] = {}
         base = 0
-        for x, i in zip(parts, pick, strict=True):
+        for x, i, own in zip(parts, pick, keys, strict=True):
             mine = first[(first >= base) & (first < base + len(i))] - base  # the first of equal segments is sent
             base += len(i)
             for k, at in _deal(x.anchor[i[mine]], shards):
                 w = i[mine[at]]
-                slot = np.searchsorted(seen, x.keys()[w])
+                slot = np.searchsorted(seen, own[mine[at]])
                 rows.setdefault(k, []).append((seen[slot], least[slot], x.text(w)))
         out = [(k, _pack(a=np.concatenate([r[0] for r in v]), b=np.concatenate([r[1] for r in v]), c=b"".join(r[2] for r in v))) for k, v in rows.items()]
         return _table(shard=pa.array([r[0] for r in out], pa.int64()), block=pa.array([block] * len(out), pa.int64()), data=pa.array([r[1] for r in out], pa.binary()))
@@ -299,14 +300,12 @@ def _search(table: pa.Table) -> pa.Table:
     best = least_by_window(words, to, least)
     n = size - WINDOW + 1
     end = np.cumsum(n)
-    own = np.minimum.reduceat(best, end - n)
     out, at = [], 0
     for block, k in zip(table.column("block").to_pylist(), key, strict=True):
         i = inv[at : at + len(k)]
         at += len(k)
         w = np.arange(n[i].sum()) + np.repeat((end - n)[i] - np.cumsum(n[i]) + n[i], n[i])
         out.append((block, _pack(a=k, b=n[i], c=best[w])))
-    del own
     return _table(block=pa.array([r[0] for r in out], pa.int64()), data=pa.array([r[1] for r in out], pa.binary()))
 
 
