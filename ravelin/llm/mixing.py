@@ -25,8 +25,8 @@ NONE = "(none)"
 
 
 def domain_of(source: str = "source") -> Column:
-    """The default domain of a source: one of four, by its checksum."""
-    return F.concat(F.lit("d"), (F.crc32(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).cast("binary")) % 4).cast("string"))
+    """The default domain of a source: one of four, by its digest."""
+    return F.concat(F.lit("d"), (F.conv(F.substring(F.md5(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).cast("binary")), 1, 2), 16, 10).cast("int") % 4).cast("string"))
 
 
 def _weight(level: str, weights: Mapping[str, Mapping[str, float]]) -> Column:

@@ -83,9 +83,8 @@ f{k} as (select *, first_value(case when lev <= r then lev end ignore nulls) ove
 share{k} as (select {keys}, case when even is null then cap else least(cap, even * w) end as budget from f{k})""")
     keys = ", ".join(levels)
     return f"""
-with checks as (select distinct source from documents),
-meta as (select doc_id, domain, lang, source, n_tokens from (
-  select doc_id, 'd' || (crc32(coalesce(source, '(none)')) % 4)::varchar as domain, coalesce(lang, '(none)') as lang, coalesce(source, '(none)') as source,
+with meta as (select doc_id, domain, lang, source, n_tokens from (
+  select doc_id, 'd' || (('0x' || substr(md5(coalesce(source, '(none)')), 1, 2))::int % 4)::varchar as domain, coalesce(lang, '(none)') as lang, coalesce(source, '(none)') as source,
     len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::bigint as n_tokens from documents) where n_tokens > 0),
 leaves as (select {keys}, sum(n_tokens)::bigint as tokens, (sum(n_tokens) * {MIX["epochs"]})::double as cap from meta group by {keys}),
 {",".join(steps)},
