@@ -1,0 +1 @@
+"""Federated document retrieval and corpus operators as Spark plans."""
