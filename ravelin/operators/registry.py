@@ -50,7 +50,7 @@ def elections(campaigns: DataFrame, duration: int, by: str = "group_id") -> Data
         live = e["at"] < s["ends"]
         won = ~live | (s["holder"] == e["node_id"])
         term = s["term"] + F.when(won & (~live | (s["holder"] != e["node_id"])), 1).otherwise(0)
-        row = F.struct(e["n"].cast("long").alias("n"), e["node_id"].alias("node_id"), won.alias("won"), F.when(won, term).cast("long").alias("term"))
+        row = F.struct(e["n"].cast("long").alias("n"), e["node_id"].alias("node_id"), won.alias("won"), F.when(won, term).otherwise(F.lit(0)).cast("long").alias("term"))
         return F.struct(F.when(won, e["node_id"]).otherwise(s["holder"]).alias("holder"), term.cast("long").alias("term"), F.when(won, e["at"] + duration).otherwise(s["ends"]).cast("long").alias("ends"), F.concat(s["log"], F.array(row)).alias("log"))
 
     folded = campaigns.groupBy(by).agg(events.alias("e")).select(by, F.aggregate("e", start, step)["log"].alias("log"))
