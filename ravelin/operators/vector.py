@@ -176,14 +176,19 @@ class Graph:
         return [(self.ids[i], s) for s, i in found[: k or None]]
 
 
-def graph_top_k(items: DataFrame, queries: DataFrame, k: int, width: int = 80, parts: int = 1) -> DataFrame:
-    """Approximate top_k: a graph for each of `parts` hash partitions of the items, every query against each, k best of all."""
+def graph_top_k(items: DataFrame, queries: DataFrame, k: int, width: int = 80, size: int = 20_000) -> DataFrame:
+    """Approximate top_k: every item is in the graph of one hash partition of about `size` items; every query goes to each
+    graph, and the k best of all count. Equal items and size give equal results."""
+
     def build(items_: pa.Table, queries_: pa.Table) -> pa.Table:
-        rows = sorted(zip(items_.column("doc_id").to_pylist(), items_.column("vector").to_pylist(), strict=True))
+        rows = sorted(zip(items_.column("doc_id").to_pylist(), items_.column("vector").to_pylist(), strict=True)) if items_.num_rows else []
+        asked = zip(queries_.column("query_id").to_pylist(), queries_.column("asked").to_pylist(), strict=True) if rows and queries_.num_rows else []
         g = Graph([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)) if rows else None
-        out = [(q, i, s) for q, v in zip(queries_.column("query_id").to_pylist(), queries_.column("vector").to_pylist(), strict=True) for i, s in (g.search(np.array(v, np.float64), k, width) if g else [])]
+        out = [(q, i, s) for q, v in asked for i, s in g.search(np.array(v, np.float64), k, width)]
         return pa.table({"query_id": pa.array([r[0] for r in out], pa.string()), "doc_id": pa.array([r[1] for r in out], pa.string()), "score": pa.array([r[2] for r in out], pa.float64())})
 
+    parts = max(1, -(-items.count() // size))
     a = items.select("doc_id", "vector", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"))
-    b = queries.select("query_id", "vector").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    # New names and keys: both sides may come from one table, and a cogroup tells columns apart by what they come from.
+    b = queries.select("query_id", F.col("vector").alias("asked")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     return ranked(a.groupBy("part").cogroup(b.groupBy("part")).applyInArrow(build, "query_id string, doc_id string, score double"), ["query_id"], k)
