@@ -8,7 +8,8 @@ alignment of their words leaves shingles in common, in order, of at least LIKE o
 Equal word sequences are one class from the start and go on as one document. Pairs are never listed by bucket: in each of
 ROUNDS rounds a bucket's first document that has not led yet is compared with the members that are not yet of its class,
 and buckets of one class are done. Members that no leader explains are then compared tile by tile, TILE members
-against TILE, inside tasks that return links only, so the rest is exact as well.
+against TILE, inside tasks that return links only, so the rest is exact as well. Before that, members of large buckets
+go whose own shingles alone rule out a near copy.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from ravelin.llm.shared import map_texts, materialize, ship
 from ravelin.llm.text import BASE, U64, blocks, column, gram_hashes, inside, mix, owners, prefix_sums, raw, span_hashes, word_bounds, word_hashes
 
 K, ELL, BANDS, LIKE = 5, 3, 16, 0.8
-ROUNDS, TILE = 3, 128
+ROUNDS, PRUNES, TILE = 3, 2, 256
 MOST = U64(2**64 - 1)
 
 
@@ -182,10 +183,62 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def labelled(h: np.ndarray) -> np.ndarray:
+    """The shingles of one text, the k-th occurrence of each as a value of its own: common values count a multiset's intersection."""
+    g = np.sort(gram_hashes(h, K))
+    at = np.flatnonzero(np.diff(g, prepend=g[:1] + U64(1)))
+    return mix(g + (np.arange(len(g)) - np.repeat(at, np.diff(np.append(at, len(g))))).astype(U64) * BASE)
+
+
+def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The size of the intersection of each two sets, as products of 0/1 matrices of the values that two sets have."""
+    own = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    name = np.cumsum(n > 1) - 1
+    keep = (n > 1)[col]
+    own, col = own[keep], name[col[keep]]
+    order = np.argsort(col, kind="stable")
+    own, col = own[order], col[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(name[-1]) + 1 if len(name) else 0, width):
+        x, y = np.searchsorted(col, (at, at + width))
+        m = np.zeros((len(sets), width), np.float32)
+        m[own[x:y], col[x:y] - at] = 1
+        out += m @ m.T
+    return out
+
+
+def _hopeless(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The reps of which more than 1 - LIKE of the shingles are in no other rep's text: they are near copies of none. What is left
+    without them shares less, so this goes on PRUNES times. One count over shingles each time, made in each task first."""
+
+    def run(part: pa.RecordBatch) -> dict:
+        h, first = word_hashes(column(part))
+        g = [labelled(h[first[i] : first[i + 1]]) for i in range(part.num_rows)]
+        n = np.array([len(v) for v in g], np.int64)
+        return {"rep": np.repeat(part.column(0).to_numpy(), n), "n": np.repeat(n, n), "g": np.concatenate(g).view(np.int64)}
+
+    gone = None
+    for _ in range(PRUNES):
+        rest = reps if gone is None else reps.join(gone, "rep", "left_anti")
+        src = texts.withColumnRenamed("doc_id", "rep").join(rest, "rep").select("rep", "text")
+        alone = map_texts(src, ["rep", "text"], run, "rep long, n long, g long").groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"), F.min("n").alias("n")).filter("c = 1")
+        more = materialize(alone.groupBy("rep").agg(F.count(F.lit(1)).alias("u"), F.min("n").alias("n")).filter(F.col("u") > (1 - LIKE) * F.col("n") + 1e-6).select("rep"), "gone")
+        gone = more if gone is None else gone.unionByName(more)
+    return gone
+
+
 def _tiles(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links within buckets (bucket, rep, comp), between members of different comp, TILE against TILE."""
+    """Links within buckets (bucket, rep, comp), between members of different comp, TILE against TILE.
+
+    Of buckets of several tiles those members go first that can't be near copies of any other.
+    """
     spread = members.select("bucket", "rep", "comp", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).alias("h"))
-    sizes = spread.groupBy("bucket").agg(((F.count(F.lit(1)) + TILE - 1) / TILE).cast("int").alias("n"))
+    large = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE).select("bucket", F.lit(True).alias("large")), "large")
+    spread = spread.join(large, "bucket", "left")
+    gone = _hopeless(spread.filter("large").select("rep").distinct(), texts).withColumn("gone", F.lit(True))
+    spread = materialize(spread.join(gone, "rep", "left").filter("large is null or gone is null").select("bucket", "rep", "comp", "h"), "spread")
+    sizes = spread.groupBy("bucket").agg(((F.count(F.lit(1)) + TILE - 1) / TILE).cast("int").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "n")
     x = spread.join(sizes, "bucket").withColumn("tile", (F.col("h") % F.col("n")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("bucket", "rep", "comp", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
     x = x.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
@@ -194,21 +247,24 @@ def _tiles(members: DataFrame, texts: DataFrame) -> DataFrame:
         part = table.combine_chunks().to_batches()[0]
         h, first = word_hashes(column(part))
         rep, comp = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("rep", "comp"))
-        g = [np.unique(gram_hashes(h[first[i] : first[i + 1]], K)) for i in range(len(rep))]
-        every = np.concatenate(g)
-        own = np.repeat(np.arange(len(g)), [len(v) for v in g])
-        order = np.argsort(every, kind="stable")
-        runs = np.flatnonzero(np.diff(every[order], prepend=every[order][:1] + U64(1)))
-        common = np.zeros((len(g), len(g)), np.int32)
-        for i, j in zip(runs, np.append(runs[1:], len(order)), strict=True):
-            if j - i > 1:
-                who = own[order[i:j]]
-                common[np.ix_(who, who)] += 1
-        n = np.array([len(v) for v in g])
-        # Sets bound multisets from neither side, but copies of a shingle are few: half the threshold lets all that count pass.
-        found = np.argwhere(np.triu(common >= 0.5 * LIKE * np.maximum(n[:, None], n[None]), 1))
-        out = [(int(rep[i]), int(rep[j])) for i, j in found if comp[i] != comp[j] and alike(h[first[i] : first[i + 1]], h[first[j] : first[j + 1]])]
-        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+        words = [h[first[i] : first[i + 1]] for i in range(len(rep))]
+        sets = [labelled(w) for w in words]
+        n = np.array([len(v) for v in sets])
+        top = {int(c): int(c) for c in comp}
+
+        def root(c: int) -> int:
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        found = np.argwhere(np.triu((overlaps(sets) >= LIKE / (1 + LIKE) * (n[:, None] + n[None]) - 1e-3) & (comp[:, None] != comp[None]), 1))
+        out = []
+        for i, j in found:
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b and alike(words[i], words[j]):  # one link joins two classes
+                top[a] = b
+                out.append(sorted((int(rep[i]), int(rep[j]))))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     ship(members.sparkSession)
     return x.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
@@ -223,28 +279,38 @@ def classes(docs: DataFrame) -> DataFrame:
     sk = materialize(_sketch(docs), "sketch")
     exact = materialize(sk.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")), "exact")
     rows = exact.filter("buckets is not null").select("rep", F.explode("buckets").alias("bucket")).distinct()
-    many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = materialize(rows.join(many, "bucket").select("bucket", "rep"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialize(rows.join(many, "bucket"), "members")
+    # A text in whose buckets many others are is near the middle of its group and explains most of it.
+    central = materialize(members.groupBy("rep").agg(F.sum("n").alias("weight")), "central")
+    members = members.join(central, "rep").select("bucket", "rep", "weight")
+    wanted = central.select(F.col("rep").alias("doc_id"))
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id"), "texts")
     left = members.withColumn("comp", F.col("rep"))
     links, labels = None, None
     for turn in range(ROUNDS + 1):
         # Only buckets of several classes have something to compare; those that have led are done with every other.
-        open_ = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("order"), "rep", "comp")).alias("lead")).filter("low <> high")
-        work = left.join(open_.select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("lead_comp")), "bucket")
+        order = -F.col("weight") if turn < ROUNDS - 1 else F.xxhash64("rep")
+        open_ = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(order.alias("order"), "rep", "comp")).alias("lead")).filter("low <> high")
+        work = materialize(left.join(open_.select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("lead_comp")), "bucket"), "work")
+        if not work.limit(1).count():
+            break
         if turn == ROUNDS:
             found = _tiles(work.select("bucket", "rep", "comp"), texts)
         else:
-            work = materialize(work, "work")
             pairs = work.filter("comp <> lead_comp").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
             found = _verify(pairs, texts)
         found = materialize(found.distinct(), "found")
-        links = found if links is None else materialize(links.unionByName(found), "all")
-        labels = components(links)
+        if found.limit(1).count():
+            links = found if links is None else materialize(links.unionByName(found), "all")
+            labels = components(links)
         if turn < ROUNDS:
-            rest = work.filter("rep <> lead").select("bucket", "rep")
-            left = materialize(rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp")), "left")
+            left = work.filter("rep <> lead").select("bucket", "rep", "weight", "comp")
+            if labels is not None:
+                left = left.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "weight", F.coalesce("comp", "rep").alias("comp"))
+            left = materialize(left, "left")
+    if labels is None:
+        labels = exact.select(F.col("rep").alias("node"), F.col("rep").alias("comp"))
     top = exact.select("k1", "k2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("class_id"))
     return sk.select("doc_id", "k1", "k2").join(top, ["k1", "k2"], "left").groupBy("doc_id").agg(F.min(F.coalesce("class_id", "doc_id")).alias("class_id"))
 
