@@ -27,8 +27,8 @@ from ravelin.llm.shared import map_texts
 from ravelin.llm.text import blocks, column, prefix_sums, raw, span_hashes
 
 LONG = 128
-MEMO = 800_000
-AT_ONCE = 40_000
+MEMO = 300_000
+AT_ONCE = 20_000
 
 ENCODE = """
 with recursive s(i, w, p, t) as (
@@ -245,4 +245,4 @@ def tokenize(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
         return out | ({"ids": pa.array(codes, pa.binary())} if ids else {})
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_texts(src, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, 4 << 20)
+    return map_texts(src, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, 2 << 20)

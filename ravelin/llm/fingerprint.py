@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import map_texts, ship
+from ravelin.llm.shared import map_texts, release, ship
 from ravelin.llm.text import U64, blocks, column, prefix_sums, raw, span_hashes
 
 WINDOW = 64
@@ -218,6 +218,7 @@ def compare(docs: DataFrame) -> DataFrame:
                 names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
                 cols = dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
                 yield pa.RecordBatch.from_pydict(cols | {"doc_id": pa.array(cols["doc_id"], pa.int64())})
+        release()
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return chain(docs).mapInArrow(run, schema)

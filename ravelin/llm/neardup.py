@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import map_texts, materialize, ship
+from ravelin.llm.shared import map_texts, materialize, release, ship
 from ravelin.llm.text import BASE, U64, blocks, column, gram_hashes, inside, mix, owners, prefix_sums, raw, span_hashes, word_bounds, word_hashes
 
 K, ELL, BANDS, LIKE = 5, 3, 16, 0.8
@@ -160,6 +160,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 hb, fb = word_hashes(column(part, "tb"))
                 ok = [alike(ha[fa[i] : fa[i + 1]], hb[fb[i] : fb[i + 1]]) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (part.column(0), part.column(1))], ["a", "b"])
+        release()
 
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -264,6 +265,7 @@ def _tiles(members: DataFrame, texts: DataFrame) -> DataFrame:
             if a != b and alike(words[i], words[j]):  # one link joins two classes
                 top[a] = b
                 out.append(sorted((int(rep[i]), int(rep[j]))))
+        release()
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     ship(members.sparkSession)

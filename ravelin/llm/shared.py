@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -49,6 +50,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library hold but don't use back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str, block: int = 1 << 20) -> DataFrame:
     """fn over blocks of whole rows with about `block` bytes of text each. Rows keep their
     partitions, nothing is shuffled, and memory follows the block and the longest text."""
@@ -59,6 +68,7 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
                 got = fn(part)
                 if got:
                     yield pa.RecordBatch.from_pydict(got)
+        release()
 
     ship(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import ship
+from ravelin.llm.shared import release, ship
 from ravelin.llm.text import BASE, U64, _power_tables, blocks, column, gram_hashes, inside, mix, owners, prefix_sums, raw, span_hashes, word_bounds
 
 WINDOW = 13
@@ -226,6 +226,7 @@ def _parts(table: pa.Table):
 
 def _anchors(shards: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         block = table.column("block")[0].as_py() if table.num_rows else 0
         found = np.unique(np.concatenate([np.zeros(0, U64), *(x.anchor for _, x in _parts(table))]))
         rows = [(k, found[at].tobytes()) for k, at in _deal(found, shards)]
@@ -246,6 +247,7 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 def _send(shards: int):
     def run(table: pa.Table, flags: pa.Table) -> pa.Table:
+        release()
         block = table.column("block")[0].as_py() if table.num_rows else 0
         twice = np.unique(np.concatenate([np.zeros(0, U64), *(np.frombuffer(x, U64) for x in flags.column("data").to_pylist())]))
         parts = [x for _, x in _parts(table)]
@@ -278,6 +280,7 @@ def _send(shards: int):
 
 
 def _search(table: pa.Table) -> pa.Table:
+    release()
     key, doc, text = [], [], []
     for x in table.column("data").to_pylist():
         k, d, t = _unpack(x)
@@ -311,6 +314,7 @@ def _search(table: pa.Table) -> pa.Table:
 
 def _remove(keep: list[str], texts: bool):
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        release()
         got = [[np.frombuffer(x, t) for x, t in zip(_unpack(d), (U64, np.int64, np.int64), strict=True)] for d in found.column("data").to_pylist()]
         key = np.concatenate([np.zeros(0, U64), *(g[0] for g in got)])
         n = np.concatenate([np.zeros(0, np.int64), *(g[1] for g in got)])
