@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import map_texts
+from ravelin.llm.shared import map_texts, models
 from ravelin.llm.text import blocks, column, prefix_sums, raw, span_hashes
 
 LONG = 128
@@ -49,13 +49,12 @@ DECODE = "select x.d as d, string_agg(v.h, '' order by x.p) as h from x join voc
 class Bpe:
     """A rank file's merges in DuckDB, and the memo of pieces."""
 
-    _kept: dict[str, Bpe] = {}
-
     @classmethod
     def of(cls, path: str) -> Bpe:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        kept = models("bpe")
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -245,4 +244,4 @@ def tokenize(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
         return out | ({"ids": pa.array(codes, pa.binary())} if ids else {})
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_texts(src, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, 2 << 20)
+    return map_texts(src, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, 2 << 20, "bpe")

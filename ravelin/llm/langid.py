@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import map_texts, remainder
+from ravelin.llm.shared import map_texts, models, remainder
 from ravelin.llm.text import column, raw
 
 SEGMENT = 512
@@ -90,15 +90,13 @@ def automaton(code: np.ndarray) -> np.ndarray:
 class Parser:
     """The automata of all languages in one table. Entries are LETTERS * state + 1 if a phrase ended."""
 
-    _kept: dict[str, Parser] = {}
-
     @classmethod
     def of(cls, model: str) -> Parser:
-        key = hashlib.sha256(model.encode()).hexdigest()
-        if key not in cls._kept:
-            cls._kept.clear()
-            cls._kept[key] = cls(json.loads(model))
-        return cls._kept[key]
+        kept, key = models("langid"), hashlib.sha256(model.encode()).hexdigest()
+        if key not in kept:
+            kept.clear()
+            kept[key] = cls(json.loads(model))
+        return kept[key]
 
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
@@ -191,4 +189,4 @@ def identify(docs: DataFrame, model: str, keep: list[str] | None = None) -> Data
 
     src = docs.select(*keep, *([] if "text" in keep else ["text"])).withColumn("_has_letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", lang_pred string, score double"
-    return map_texts(src, src.columns, run, schema, 4 << 20)
+    return map_texts(src, src.columns, run, schema, 4 << 20, "langid")

@@ -50,25 +50,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Give memory that Arrow and the C library hold but don't use back to the system: workers outlive their tasks."""
+_models: dict[str, dict] = {}
+
+
+def models(of: str) -> dict:
+    """What operator `of` keeps in this worker between tasks, by key. What others kept goes: a worker has one operator's models."""
+    for k in [k for k in _models if k != of]:
+        del _models[k]
+    return _models.setdefault(of, {})
+
+
+def release(of: str = "") -> None:
+    """Drop other operators' models, and give memory that Arrow and the C library hold but don't use back to the system:
+    workers outlive their tasks."""
+    models(of)
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
-def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str, block: int = 1 << 20) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str, block: int = 1 << 20, of: str = "") -> DataFrame:
     """fn over blocks of whole rows with about `block` bytes of text each. Rows keep their
-    partitions, nothing is shuffled, and memory follows the block and the longest text."""
+    partitions, nothing is shuffled, and memory follows the block and the longest text. of: the operator whose models() fn uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(of)
         for batch in batches:
             for part in blocks(batch, block):
                 got = fn(part)
                 if got:
                     yield pa.RecordBatch.from_pydict(got)
-        release()
+        release(of)
 
     ship(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)

@@ -204,6 +204,8 @@ def _unpack(data: bytes) -> list[bytes]:
 
 def _deal(key: np.ndarray, shards: int):
     """The shards that have keys, each with the places of its keys."""
+    if not len(key):
+        return
     shard = (key % U64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     cut = np.flatnonzero(np.diff(shard[order], prepend=-1))

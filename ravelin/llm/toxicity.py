@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import map_texts, remainder
+from ravelin.llm.shared import map_texts, models, remainder
 from ravelin.llm.text import U64, column, mix, prefix_sums, raw, span_hashes, word_bounds
 
 BITS = 19
@@ -107,21 +107,19 @@ def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Model:
     """Weights of the features, transitions, and the curve from marginals to scores."""
 
-    _kept: dict[int, Model] = {}
-
     def __init__(self, w: np.ndarray, bias: float, go: np.ndarray, curve: tuple[float, float]):
         self.w, self.bias, self.go, self.curve = w, bias, go, curve
 
     @classmethod
     def of(cls, data: bytes) -> Model:
-        key = hash(data)
-        if key not in cls._kept:
+        kept, key = models("toxicity"), hash(data)
+        if key not in kept:
             x = np.load(io.BytesIO(data))
             w = np.zeros(1 << BITS, np.float32)
             w[x["at"]] = x["w"]
-            cls._kept.clear()
-            cls._kept[key] = cls(w, float(x["bias"]), x["go"], tuple(x["curve"]))
-        return cls._kept[key]
+            kept.clear()
+            kept[key] = cls(w, float(x["bias"]), x["go"], tuple(x["curve"]))
+        return kept[key]
 
     def dump(self) -> bytes:
         at = np.flatnonzero(self.w)
@@ -238,4 +236,4 @@ def detect(docs: DataFrame, model: Model, spans: bool = False, cut: float = 0.5)
         return out
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_texts(src, ["doc_id", "text"], run, "doc_id long, score double, predicted int" + ", spans array<struct<begin: long, end: long>>" * spans)
+    return map_texts(src, ["doc_id", "text"], run, "doc_id long, score double, predicted int" + ", spans array<struct<begin: long, end: long>>" * spans, of="toxicity")
