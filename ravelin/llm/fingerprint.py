@@ -30,6 +30,8 @@ HASHES = 5
 FULL = 160
 LEVELS = 512
 CUTS = 256
+#: A list of at most so many runs, three numbers each, is broadcast.
+MANY = 100_000
 
 _c = np.arange(1, WINDOW + 1)
 _f = np.concatenate([[0], np.round(_c * np.log2(_c) * 65536).astype(np.int64)])
@@ -165,6 +167,7 @@ def chain(docs: DataFrame, size: int = 4000) -> DataFrame:
     ends = F.max(F.struct("run", "k")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("run", F.coalesce(F.lag(F.struct("run", "k")).over(order), ends).alias("after"))
     heads = heads.select(F.col("run").alias("to"), F.col("after.run").alias("run"), F.col("after.k").alias("k"))
+    heads = F.broadcast(heads) if runs <= MANY else heads
     extra = src.withColumn("k", key).join(heads, ["run", "k"]).groupBy("to").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("run"), F.lit(1).alias("tail"))
 
     def run(batches):
