@@ -307,7 +307,7 @@ def log_truncate(spark, sf):
 
 
 def _segments(spark, sf):
-    log = src.change_log(spark, sf).withColumn("generation", F.expr("(seq - 1) div 500 + 1"))
+    log = src.change_log(spark, sf).withColumn("generation", F.expr("(seq - 1) div 50 + 1"))
     w = Window.partitionBy("collection_id", "doc_id", "generation").orderBy(F.desc("seq"))
     return log.withColumn("r", F.row_number().over(w)).filter("r = 1").select("collection_id", "doc_id", "op", "seq", "body", "generation")
 

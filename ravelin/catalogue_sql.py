@@ -74,7 +74,7 @@ pick as (select *, row_number() over (partition by query_id order by ok desc, ca
 _LOG = """log as (select 'c' || (user_id % 4)::varchar as collection_id, row_number() over (partition by user_id % 4 order by ts, event_id) as seq,
   case when event_type = 'error' then 'delete' else 'upsert' end as op, user_id::varchar as doc_id, props as body from events),
 com as (select collection_id, floor(max(seq) * 0.9)::bigint as committed from log group by 1)"""
-_SEG = "seg as (select * from (select *, (seq - 1) // 500 + 1 as generation, row_number() over (partition by collection_id, doc_id, (seq - 1) // 500 order by seq desc) as r from log) where r = 1)"
+_SEG = "seg as (select * from (select *, (seq - 1) // 50 + 1 as generation, row_number() over (partition by collection_id, doc_id, (seq - 1) // 50 order by seq desc) as r from log) where r = 1)"
 _LEASE = """ev as (select user_id as node_id, floor(epoch(ts))::bigint as sec, event_id as n, case event_type when 'signup' then 'register' when 'error' then 'deregister' when 'click' then 'heartbeat' when 'view' then 'heartbeat' end as kind from events),
 nowt as (select max(sec) as now from ev where kind is not null),
 g as (select *, sum((kind = 'register')::int) over (partition by node_id order by sec, n) as grp from ev where kind is not null),
