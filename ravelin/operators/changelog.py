@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,29 @@ def publish(segment: DataFrame, path: str) -> int:
     return n
 
 
+def publish_all(segments: DataFrame, path: str) -> int:
+    """Write the segments of all generations (numbered from 1 by the column `generation`) after those that are there, in one
+    job. Each generation is written aside and then renamed, whole; ids are unique within each."""
+    spark = segments.sparkSession
+    bad = segments.groupBy(*KEY, "generation").count().filter("count > 1 or generation is null or generation < 1").limit(1).count()
+    if bad or not segments.limit(1).count():
+        raise ValueError("a segment has each id once, and one at least")
+    base = max(generations(spark, path), default=0)
+    aside = f"{path}/aside-{uuid.uuid4().hex}"
+    named = segments.withColumn("generation", F.format_string("%020d", F.col("generation").cast("long") + base))
+    named.repartition("generation").write.partitionBy("generation").parquet(aside)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(aside)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((s.getPath() for s in fs.listStatus(at) if s.isDirectory()), key=lambda p: p.getName())
+    for p in parts:
+        fs.create(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")).close()
+        if not fs.rename(p, jvm.org.apache.hadoop.fs.Path(path, p.getName())):
+            raise OSError(f"{p.getName()} is there already")
+    fs.delete(at, True)
+    return int(parts[-1].getName().split("=")[1])
+
+
 def generations(spark: SparkSession, path: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -68,11 +92,8 @@ def generations(spark: SparkSession, path: str) -> list[int]:
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    parts = [spark.read.parquet(f"{path}/generation={n:020d}").withColumn("generation", F.lit(n).cast("long")) for n in generations(spark, path)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [f"{path}/generation={n:020d}" for n in generations(spark, path)]
+    return spark.read.option("basePath", path).parquet(*parts).withColumn("generation", F.col("generation").cast("long"))
 
 
 def segment_documents(segments: DataFrame) -> DataFrame:

@@ -121,6 +121,23 @@ def test_log_frames(spark):
     assert [(r["kind"], r["seq"], bytes(r["payload"])) for r in rows] == [(1, 1, b"a"), (2, 1, b"")]
 
 
+def test_compaction_keeps_the_latest_of_all_generations(spark, sf, tmp_path):
+    rows = [("c", "d", "upsert", g, "x", g) for g in range(1, 6)] + [("c", "e", "upsert", 6, "x", 3), ("c", "e", "delete", 7, None, 4), ("c", "f", "delete", 8, None, 3), ("c", "f", "upsert", 9, "x", 4)]
+    seg = spark.createDataFrame(rows, "collection_id string, doc_id string, op string, seq long, body string, generation long")
+    path = str(tmp_path / "segments")
+    assert changelog.publish_all(seg, path) == 5 and changelog.generations(spark, path) == [1, 2, 3, 4, 5]
+    got = changelog.compact(changelog.read_segments(spark, path), 2).collect()
+    assert sorted((r["doc_id"], r["op"], r["seq"], r["generation"]) for r in got) == [("d", "upsert", 5, 6), ("f", "upsert", 9, 6)]
+    assert changelog.publish(seg.filter("generation = 5").drop("generation"), path) == 6
+    with pytest.raises(ValueError):
+        changelog.publish_all(seg.unionByName(seg), path)
+    want = catalogue.QUERIES["segment_documents"](spark, sf)
+    top = catalogue._segments(spark, sf).agg(F.max("generation")).first()[0]
+    key = lambda df: sorted((r["collection_id"], r["doc_id"], r["seq"]) for r in df.collect())
+    got = catalogue.QUERIES["segment_compact"](spark, sf)
+    assert top > 3 and key(got) == key(want) and {r["generation"] for r in got.collect()} == {top + 1}
+
+
 def test_lease_ends_and_comes_back(spark):
     e = spark.createDataFrame([("n", 0, 1, "register"), ("n", 10, 2, "heartbeat"), ("n", 30, 3, "heartbeat"), ("m", 0, 4, "register"), ("m", 5, 5, "deregister")], "node_id string, at long, n long, kind string")
     assert [(r["node_id"], r["expires_at"]) for r in registry.active(e, 15, 20).collect()] == [("n", 25)]
