@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from ravelin.catalogue import QUERIES
 
-NAMES = ["tokenize_lengths", "doc_frequency", "lexical_any", "lexical_all", "federated_search", "authorized_search", "vector_exact_topk", "hash_embed_features", "hybrid_search", "policy_decisions", "planner_select", "log_replay", "segment_documents", "lease_active_nodes", "quorum_write", "search_metrics", "benchmark_corpus_search"]
+NAMES = ["tokenize_lengths", "doc_frequency", "lexical_any", "lexical_all", "federated_search", "authorized_search", "vector_exact_topk", "hash_embed_features", "hybrid_search", "policy_decisions", "planner_select", "log_replay", "segment_documents", "lease_active_nodes", "quorum_write", "search_metrics", "benchmark_corpus_search", "index_benchmark"]
 
 
 def main() -> None:

@@ -138,6 +138,15 @@ def test_compaction_keeps_the_latest_of_all_generations(spark, sf, tmp_path):
     assert top > 3 and key(got) == key(want) and {r["generation"] for r in got.collect()} == {top + 1}
 
 
+def test_index_benchmark_has_the_reference_defaults(spark, sf):
+    """The result's size, from the reference's arithmetic in plain Python."""
+    n, seed = 1_000_000, 20260915
+    terms = lambda i: ((i * 104729 + seed) % 4096, (i * 65537 + seed * 3) % 256)
+    of = Counter(map(terms, range(n)))
+    want = {str(k): min(20, of[terms((k * 7919 + seed) % n)]) for k in range(500)}
+    assert Counter(r["query_id"] for r in catalogue.QUERIES["index_benchmark"](spark, sf).collect()) == want
+
+
 def test_lease_ends_and_comes_back(spark):
     e = spark.createDataFrame([("n", 0, 1, "register"), ("n", 10, 2, "heartbeat"), ("n", 30, 3, "heartbeat"), ("m", 0, 4, "register"), ("m", 5, 5, "deregister")], "node_id string, at long, n long, kind string")
     assert [(r["node_id"], r["expires_at"]) for r in registry.active(e, 15, 20).collect()] == [("n", 25)]
