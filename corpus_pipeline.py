@@ -36,9 +36,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the tokens, evenly over domains, languages and sources as far as they reach, in one epoch."""
-    drawn = mixing.mix(docs, fraction=0.9, epochs=1, seed=7).filter("copies > 0").select("doc_id")
-    return docs.select(*COLUMNS).join(drawn, "doc_id", "left_semi").select(*COLUMNS)
+    """Nine tenths of the tokens, evenly over domains, languages and sources as far as they reach, in one epoch. Each row is drawn
+    by itself, whatever its doc_id: null and repeated ids as well."""
+    rows = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")  # the numbers stay what they are
+    drawn = mixing.mix(rows, fraction=0.9, epochs=1, seed=7, key="_row").filter("copies > 0").select("_row")
+    return rows.join(drawn, "_row", "left_semi").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

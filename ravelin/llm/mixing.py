@@ -69,17 +69,18 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     return leaves.join(given, levels).select(*levels, "tokens", F.floor(F.col("budget") + 1e-6).cast("long").alias("target"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, float]] | None = None, fraction: float = 0.5, epochs: int = 2, seed: int = 0, levels: Sequence[str] = LEVELS, domain: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, float]] | None = None, fraction: float = 0.5, epochs: int = 2, seed: int = 0, levels: Sequence[str] = LEVELS, domain: Column | None = None, key: str | None = None) -> DataFrame:
     """What to draw of each document: doc_id, the levels, n_tokens (words), copies (whole) and tokens (of all copies and of
     the document in which the prefix ends). Only documents with tokens to draw are returned.
 
     weights: for each level, the weights of its values; 1 for those not named, 0 draws nothing.
     Null keys count as the value `(none)`; a null text has no tokens and is never drawn; repeated rows
-    count as rows of their own; an empty table gives an empty result.
+    count as rows of their own; an empty table gives an empty result. key: a column that tells rows apart, returned as well.
     """
-    levels = list(levels)
+    levels, keys = list(levels), [key] if key else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     meta = docs.withColumn("domain", domain if domain is not None else domain_of()).select(
+        *keys,
         F.col("doc_id").cast("long").alias("doc_id"),
         *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in levels],
         F.regexp_count(text, F.lit(WORDS)).cast("long").alias("n_tokens"),
@@ -95,8 +96,8 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, float]] | None = Non
     ends = sums.withColumn("to", F.sum("s").over(run)).withColumn("from", F.col("to") - F.col("s")).filter((F.col("from") < F.col("rest")) & (F.col("rest") <= F.col("to"))).select(*levels, F.col("b").alias("edge"), "from")
     rows = rows.join(ends, levels, "left")
     inner = rows.filter(F.coalesce(F.col("b") != F.col("edge"), F.lit(True))).withColumn("part", F.when(F.col("b") < F.col("edge"), F.col("n_tokens")).otherwise(F.lit(0).cast("long")))
-    order = Window.partitionBy(*levels).orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(*levels).orderBy("h", "doc_id", "n_tokens", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.filter(F.col("b") == F.col("edge"))
     edge = edge.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("n_tokens"), F.col("rest") - F.col("from") - F.sum("n_tokens").over(order) + F.col("n_tokens"))))
-    cols = ["doc_id", *levels, "n_tokens", (F.col("full") + (F.col("part") == F.col("n_tokens")).cast("long")).alias("copies"), (F.col("full") * F.col("n_tokens") + F.col("part")).alias("tokens")]
+    cols = [*keys, "doc_id", *levels, "n_tokens", (F.col("full") + (F.col("part") == F.col("n_tokens")).cast("long")).alias("copies"), (F.col("full") * F.col("n_tokens") + F.col("part")).alias("tokens")]
     return inner.select(*cols).unionByName(edge.select(*cols)).filter("tokens > 0")
