@@ -318,6 +318,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose class has one of smaller doc_id. Rows without doc_id stay."""
-    gone = classes(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """docs without the rows whose class has one of smaller doc_id. Rows without doc_id stay.
+
+    Where ids repeat, each distinct text of an id is judged by itself, and one row of each stays at most.
+    """
+    known = docs.filter(F.col("doc_id").cast("long").isNotNull())
+    if not known.groupBy(F.col("doc_id").cast("long")).count().filter("count > 1").limit(1).count():
+        gone = classes(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    # Keys of rows in the order of ids; the hash deals out what one id has.
+    order = [F.col("doc_id").cast("long"), F.xxhash64("text")]
+    keyed = known.dropDuplicates(["doc_id", "text"]).repartitionByRange(*order).sortWithinPartitions(*order)
+    keyed = materialize(keyed.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    gone = classes(keyed.select(F.col("_key").alias("doc_id"), "text")).filter("class_id <> doc_id").select(F.col("doc_id").alias("_key"))
+    return keyed.join(gone, "_key", "left_anti").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").cast("long").isNull()))
