@@ -159,13 +159,13 @@ class Parser:
 def learn(docs: DataFrame, rows: int = 40, most: int = 4000) -> str:
     """The labelled text to parse against, as JSON: lang -> texts.
 
-    A bounded sample: of the labelled rows of at most `most` characters (non-null text, lang and doc_id,
-    crc32(doc_id) mod 4 other than 2), the `rows` of each language that come first by a hash of
-    doc_id, with their whole texts. Only (lang, hash) are ranked, within each task first.
+    A bounded sample: of the labelled rows (non-null text, lang and doc_id, crc32(doc_id) mod 4 other than 2),
+    the `rows` of each language that come first by a hash of doc_id, with their whole texts; those of more than
+    `most` characters come after all others, so that a language that has no shorter ones is learned as well. Only (lang, hash) are ranked, within each task first.
     """
     ok = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 4) != 2))
-    ok = ok.filter((F.length("text") <= most) & F.col("text").rlike("\\p{L}")).select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit("langid")).alias("h"))
-    first = ok.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).filter(F.col("r") <= rows)
+    ok = ok.filter(F.col("text").rlike("\\p{L}")).select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit("langid")).alias("h"))
+    first = ok.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.length("text") > most, "h", "doc_id", "text"))).filter(F.col("r") <= rows)
     texts: dict[str, list[str]] = {}
     for row in first.select("lang", "text", "r").orderBy("lang", "r").toLocalIterator():
         texts.setdefault(row["lang"], []).append(row["text"])

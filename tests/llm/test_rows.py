@@ -1,7 +1,9 @@
 """Rows of null and repeated ids, and languages that have long texts only."""
 
+import json
+
 import corpus_pipeline
-from ravelin.llm import mixing, neardup
+from ravelin.llm import langid, mixing, neardup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -20,3 +22,10 @@ def test_each_text_of_a_repeated_id_is_judged_by_itself(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     got = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.keep_one(docs).collect())
     assert got == [(0, "a b c d e f")] * 2 + [(1, "a b c d e f"), (5, "its own text of this id"), (6, "")]
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rows = [(i, "long text " * 500 if i % 2 else "kurz", "xx" if i % 2 else "yy", "s", 1) for i in range(40)]
+    rows += [(i, "kurzer text " * 500, "yy", "s", 1) for i in range(40, 80)]
+    model = json.loads(langid.learn(spark.createDataFrame(rows, SCHEMA), rows=5))
+    assert set(model) == {"xx", "yy"} and len(model["xx"]) == 5 and model["yy"] == ["kurz"] * 5
