@@ -293,7 +293,7 @@ def _log(spark, sf):
 
 @query
 def log_replay(spark, sf):
-    """O-01 to O-07, C-05, C-06, P-08, A-15."""
+    """O-01 to O-05, C-05, C-06, P-08, A-15. The binary log (O-06, O-20) is changelog.decode_log, O-07 is changelog.append."""
     return changelog.replay(*_log(spark, sf)).select("collection_id", "doc_id", "seq", "body")
 
 

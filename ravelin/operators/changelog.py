@@ -155,3 +155,81 @@ def decode_frames(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"path": [path] * len(rows), "position": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "seq": pa.array([r[2] for r in rows], pa.int64()), "payload": pa.array([r[3] for r in rows], pa.binary())})
 
     return files.select("path", "content").mapInArrow(run, "path string, position long, kind int, seq long, payload binary")
+
+
+MAGIC, VERSION, HEADER, MOST = b"PMWAL001", 1, 20, 32 << 20
+UPSERT, DELETE, COMMIT = 1, 2, 3
+
+
+def log_header(base: int = 0) -> bytes:
+    return MAGIC + struct.pack(">HHQ", VERSION, HEADER, base)
+
+
+def _string(data: bytes, at: int) -> tuple[bytes, int]:
+    """A string after its length as a varint, and where it ends."""
+    n = shift = 0
+    while True:
+        if at >= len(data) or shift > 63:
+            raise ValueError("invalid string length")
+        b = data[at]
+        n, at, shift = n | (b & 127) << shift, at + 1, shift + 7
+        if b < 128:
+            break
+    if n > MOST or at + n > len(data):
+        raise ValueError("invalid string length")
+    return data[at : at + n], at + n
+
+
+def scan_log(data: bytes) -> tuple[list[tuple], int]:
+    """The changes (seq, op, doc_id, title, body) of a whole log, and the last committed sequence. A torn tail ends it;
+    anything else that is not as the format has it raises."""
+    if len(data) < HEADER or data[:8] != MAGIC:
+        raise ValueError("incorrect header or magic")
+    version, size, last = struct.unpack_from(">HHQ", data, 8)
+    if version != VERSION or size != HEADER:
+        raise ValueError("unsupported version or incorrect header size")
+    at, committed, rows = HEADER, last, []
+    while at + 8 <= len(data):
+        n, crc = struct.unpack_from(">II", data, at)
+        if not 0 < n <= MOST:
+            raise ValueError("invalid record size")
+        body = data[at + 8 : at + 8 + n]
+        if len(body) < n:
+            break
+        if crc32c(body) != crc or n < 9:
+            raise ValueError(f"a record is damaged at {at}")
+        kind, seq = struct.unpack_from(">BQ", body)
+        if not seq or kind not in (UPSERT, DELETE, COMMIT):
+            raise ValueError("zero sequence or unknown kind")
+        if kind == COMMIT:
+            if n != 9 or not committed <= seq <= last:
+                raise ValueError("malformed or invalid commit")
+            committed = seq
+        else:
+            fields, end = [], 9
+            for _ in range(3 if kind == UPSERT else 1):
+                x, end = _string(body, end)
+                fields.append(x.decode("utf-8", "replace"))
+            if end != n or not fields[0].strip():
+                raise ValueError("malformed change")
+            if seq != last + 1:
+                raise ValueError("sequences are not contiguous")
+            last = seq
+            rows.append((seq, "upsert" if kind == UPSERT else "delete", *fields, *[None] * (3 - len(fields))))
+        at += 8 + n
+    return rows, committed
+
+
+def decode_log(files: DataFrame) -> DataFrame:
+    """Changes (path, seq, op, doc_id, title, body, committed) of binary logs (path, content), each checked as scan_log does."""
+    names = ["seq", "op", "doc_id", "title", "body"]
+    types = [pa.int64(), *[pa.string()] * 4]
+
+    def run(batches):
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, committed = scan_log(data)
+                cols = {c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, types, strict=True))}
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(rows), pa.string())} | cols | {"committed": pa.array([committed] * len(rows), pa.int64())})
+
+    return files.select("path", "content").mapInArrow(run, "path string, seq long, op string, doc_id string, title string, body string, committed long")

@@ -15,6 +15,7 @@ from ravelin import catalogue
 from ravelin.functions.hashing import fnv1a, hmac_sha256
 from ravelin.functions.text import query_features, snippet, tokens
 from ravelin.operators import changelog, fusion, lexical, planner, policy, registry, vector
+from ravelin.streaming import flows
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -147,6 +148,34 @@ def test_index_benchmark_has_the_reference_defaults(spark, sf):
     assert Counter(r["query_id"] for r in catalogue.QUERIES["index_benchmark"](spark, sf).collect()) == want
 
 
+def test_binary_log(spark):
+    s = lambda *x: b"".join(bytes([len(v)]) + v for v in x)
+    up, down, commit = changelog.frame(1, 8, s(b"d", b"t", b"b")), changelog.frame(2, 9, s(b"d")), changelog.frame(3, 8)
+    head = changelog.log_header(7)
+    rows = changelog.decode_log(spark.createDataFrame([("p", head + up + commit + down + up[:-1])], "path string, content binary")).collect()
+    assert [tuple(r) for r in rows] == [("p", 8, "upsert", "d", "t", "b", 8), ("p", 9, "delete", "d", None, None, 8)]
+    long = bytes([200, 1]) + b"x" * 200
+    assert changelog.scan_log(head + changelog.frame(2, 8, long))[0][0][2] == "x" * 200
+    bad = [b"", b"X" + head[1:], head[:9] + b"\2" + head[10:], head[:11] + b"\0" + head[12:], head + down, head + up + up, head + commit, head + up + commit + changelog.frame(3, 7), head + changelog.frame(4, 8), head + changelog.frame(1, 8, s(b"d")), head + changelog.frame(2, 8, s(b"d", b"e")), head + changelog.frame(2, 8, s(b" ")), head + bytes(8), head + up[:-1] + b"z"]
+    for data in bad:
+        with pytest.raises(ValueError):
+            changelog.scan_log(data)
+
+
+def test_append_and_replayed_batches(spark):
+    log = spark.createDataFrame([("c", 4, "upsert", "d", "x")], "collection_id string, seq long, op string, doc_id string, body string")
+    new = spark.createDataFrame([("c", 2, "delete", "d", None), ("c", 1, "upsert", "e", "y"), ("k", 1, "upsert", "d", "z")], "collection_id string, n long, op string, doc_id string, body string")
+    more = changelog.append(log, new)
+    assert sorted((r["collection_id"], r["seq"], r["op"], r["doc_id"]) for r in more.collect()) == [("c", 5, "upsert", "e"), ("c", 6, "delete", "d"), ("k", 1, "upsert", "d")]
+    state = {}
+    merge = flows.replay_batches(lambda: state.get("t"), lambda df: state.update(t=spark.createDataFrame(df.collect(), df.schema)))
+    got = []
+    for k, batch in enumerate((log, more, more)):
+        merge(batch, k)
+        got.append(sorted((r["collection_id"], r["doc_id"], r["seq"], r["op"]) for r in state["t"].collect()))
+    assert got[1] == got[2] == [("c", "d", 6, "delete"), ("c", "e", 5, "upsert"), ("k", "d", 1, "upsert")]
+
+
 def test_lease_ends_and_comes_back(spark):
     e = spark.createDataFrame([("n", 0, 1, "register"), ("n", 10, 2, "heartbeat"), ("n", 30, 3, "heartbeat"), ("m", 0, 4, "register"), ("m", 5, 5, "deregister")], "node_id string, at long, n long, kind string")
     assert [(r["node_id"], r["expires_at"]) for r in registry.active(e, 15, 20).collect()] == [("n", 25)]
