@@ -2,22 +2,26 @@
 
 Each task holds an in-memory DuckDB. Texts are cut into pieces as the pattern of the rank
 file says; the distinct pieces of a block go to DuckDB as rows (piece, position, token), and
-one recursive query contracts the leftmost pair of least rank of each piece until no pair of
-the piece is in the merge table. Decoding joins tokens to the vocabulary and aggregates their
-bytes in order. Pieces met before come from a bounded memo of the worker, which changes no result.
-
-Pieces of more than LONG bytes would make the row form quadratic; they take the same
-contraction over a heap, which gives equal ids.
+a recursive query contracts the leftmost pair of least rank of each piece until no pair of
+the piece is in the merge table. Ids of pieces met before come from a bounded memo of the worker, by the
+pieces' bytes, which changes no result. Decoding takes the id sequence of each document: its tokens, as rows
+(document, position, id), meet the vocabulary, and their bytes are aggregated in order.
+
+Long pieces are first cut where no token of the vocabulary has those two bytes side by side, as no token can
+span such a place. What is still longer than LONG bytes takes the same contraction by a query whose steps
+contract every occurrence of the least pair at once, from the left, where that gives what one by one would: no token
+that has the new one for a half ranks below it. One pair a step would take steps in proportion to the
+piece, over all its rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,19 +34,46 @@ LONG = 128
 MEMO = 300_000
 AT_ONCE = 20_000
 
+#: The pattern that piece_starts() follows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 ENCODE = """
 with recursive s(i, w, p, t) as (
   select 0, w, p, t from pieces
   union all
   select c.i + 1, c.w, c.p - (c.p > b.q)::int, case when c.p = b.q then b.m else c.t end
   from s c join (
-    select w, (min(c) >> 8)::int as m, (min(c) & 255)::int as q
-    from (select a.w, (g.m::bigint << 8) | a.p as c
+    select w, (min(c) >> 32)::int as m, (min(c) & 4294967295)::bigint as q
+    from (select a.w, (g.m::bigint << 32) | a.p as c
           from s a join s n on n.w = a.w and n.p = a.p + 1 join merges g on g.l = a.t and g.r = n.t)
     group by w) b on c.w = b.w
   where c.p <> b.q + 1)
 select s.w, s.p, s.t from s join (select w, max(i) as z from s group by w) e on e.w = s.w and e.z = s.i order by s.w, s.p
 """
+#: Keyed rows: a step replaces those it changes, so that memory is a piece's, not a piece's for each step. -1: gone into its left neighbour.
+ENCODE_LONG = """
+with recursive s(w, p, t) using key (w, p) as (
+  select w, p, t from pieces
+  union all
+  select w, p, case when gone then -1 when hit then m else t end
+  from (
+    select *, coalesce(lag(hit) over (partition by w order by p), false) as gone
+    from (
+      select *, best and case when alone then row_number() over (partition by w, isle order by p) % 2 = 1 else p = min(case when best then p end) over (partition by w) end as hit
+      from (
+        select *, case when best then row_number() over (partition by w order by p) - row_number() over (partition by w, best order by p) else -1 end as isle
+        from (
+          select a.*, g.m, g.alone, min(g.m) over (partition by a.w) as least, coalesce(g.m = least, false) as best
+          from (select *, lead(t) over (partition by w order by p) as u from s where t >= 0) a left join merges g on g.l = a.t and g.r = a.u)
+        where least is not null))))
+select w, p, t from s where t >= 0 order by w, p
+"""
+#: Whether no merge that takes the token m for a half gives a token of smaller rank than m.
+ALONE = """
+create or replace temp table merges as
+with next as (select x, min(m) as least from (select l as x, m from given union all select r, m from given) group by x)
+select l, r, m, (least is null or least > m) as alone from given left join next on next.x = m
+"""
 DECODE = "select x.d as d, string_agg(v.h, '' order by x.p) as h from x join vocab v on v.id = x.t group by x.d order by x.d"
 
 
@@ -63,45 +94,61 @@ class Bpe:
         rows = [(a, b, k) for tok, k in self.ranks.items() for i in range(1, len(tok)) if (a := self.ranks.get(tok[:i])) is not None and (b := self.ranks.get(tok[i:])) is not None]
         self.con = duckdb.connect()
         self.con.execute("set threads = 1; set memory_limit = '300MB'; set preserve_insertion_order = false")
-        l, r, m = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
-        self._load("merges", pa.table({"l": l, "r": r, "m": m}))
+        l, r, m = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True)) if rows else (pa.array([], pa.int32()),) * 3
+        self._load("given", pa.table({"l": l, "r": r, "m": m}))
+        self.con.execute(ALONE)
         self._load("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "h": [k.hex() for k in self.ranks]}))
-        self.memo: dict[int, tuple[bytes, bytes]] = {}
+        self.joined = np.zeros((256, 256), bool)
+        for tok in self.ranks:
+            x = np.frombuffer(tok, np.uint8)
+            self.joined[x[:-1], x[1:]] = True
+        # A piece that is a token has that id, even where contraction ends in other tokens.
+        every = list(self.ranks)
+        got = self.encode(every)
+        self.whole = {tok: self.ranks[tok].to_bytes(4, "little") for tok, ids in zip(every, got, strict=True) if ids != self.ranks[tok].to_bytes(4, "little")}
+        self.memo: dict[bytes, bytes] = {}
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.con.register("incoming", table)
         self.con.execute(f"create or replace temp table {name} as select * from incoming")
         self.con.unregister("incoming")
 
-    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces of LONG bytes at most, one after the other, and where each piece's begin, with the end."""
-        n = np.array([len(x) for x in pieces], np.int64)
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        w = np.repeat(np.arange(len(pieces), dtype=np.int32), n)
-        p = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    def _contract(self, parts: list[bytes], query: str) -> list[bytes]:
+        n = np.array([len(x) for x in parts], np.int64)
+        flat = np.frombuffer(b"".join(parts), np.uint8)
+        w = np.repeat(np.arange(len(parts), dtype=np.int32), n)
+        p = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
         self._load("pieces", pa.table({"w": w, "p": p, "t": self.bytes[flat]}))
-        got = self.con.execute(ENCODE).fetchnumpy()
-        return got["t"].astype("<u4"), np.searchsorted(got["w"], np.arange(len(pieces) + 1))
-
-    def encode_long(self, piece: bytes) -> np.ndarray:
-        """The same contraction over a linked list and a heap of (rank, position)."""
-        n, ids = len(piece), [bytes([x]) for x in piece]
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(k, i, 2) for i in range(n - 1) if (k := self.ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i] if ids[i] else -1
-            if j < 0 or len(ids[i]) + len(ids[j]) != size:
-                continue
-            ids[i] += ids[j]
-            ids[j], after[i] = b"", after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (k := self.ranks.get(ids[a] + ids[b])) is not None:
-                    heapq.heappush(heap, (k, a, len(ids[a]) + len(ids[b])))
-        return np.array([self.ranks[x] for x in ids if x], np.uint32)
+        got = self.con.execute(query).fetchnumpy()
+        data, at = got["t"].astype("<u4").tobytes(), (np.searchsorted(got["w"], np.arange(len(parts) + 1)) * 4).tolist()
+        return [data[x:y] for x, y in zip(at, at[1:], strict=False)]
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids (little-endian, 4 bytes each) of each piece."""
+        parts, owner = [], []
+        for k, x in enumerate(pieces):
+            cut = [x]
+            if len(x) > LONG:
+                b = np.frombuffer(x, np.uint8)
+                at = [0, *(np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist(), len(x)]
+                cut = [x[i:j] for i, j in zip(at, at[1:], strict=False)]
+            parts += cut
+            owner += [k] * len(cut)
+        ids: list[bytes] = [b""] * len(parts)
+        short = [i for i, x in enumerate(parts) if len(x) <= LONG]
+        for a in range(0, len(short), AT_ONCE):
+            some = short[a : a + AT_ONCE]
+            for i, got in zip(some, self._contract([parts[i] for i in some], ENCODE), strict=True):
+                ids[i] = got
+        for i, x in enumerate(parts):
+            if len(x) > LONG:
+                ids[i] = self._contract([x], ENCODE_LONG)[0]
+        if len(parts) == len(pieces):
+            return ids
+        out: list[list[bytes]] = [[] for _ in pieces]
+        for k, x in zip(owner, ids, strict=True):
+            out[k].append(x)
+        return [b"".join(x) for x in out]
 
     def decode(self, ids: np.ndarray, cut: np.ndarray) -> list[bytes]:
         """The bytes of each id sequence ids[cut[i]:cut[i + 1]]."""
@@ -113,23 +160,14 @@ class Bpe:
             out[d] = bytes.fromhex(h)
         return out
 
-    def learn(self, pieces: list[bytes], keys: list[int]) -> None:
-        """Put (ids as bytes, decoded bytes) of new pieces into the memo. A piece that is a token has that id."""
-        short, at = [], []
-        for x, k in zip(pieces, keys, strict=True):
-            if x in self.ranks:
-                self.memo[k] = (self.ranks[x].to_bytes(4, "little"), x)
-            elif len(x) <= LONG:
-                short.append(x)
-                at.append(k)
-            else:
-                ids = self.encode_long(x)
-                self.memo[k] = (ids.astype("<u4").tobytes(), self.decode(ids, np.array([0, len(ids)]))[0])
-        for i in range(0, len(short), AT_ONCE):
-            ids, cut = self.encode(short[i : i + AT_ONCE])
-            data, c = ids.tobytes(), (cut * 4).tolist()
-            for k, x, y, text in zip(at[i : i + AT_ONCE], c, c[1:], self.decode(ids, cut), strict=False):
-                self.memo[k] = (data[x:y], text)
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of distinct pieces, from the memo where it has them."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        known, new = self.memo, [x for x in pieces if x not in self.memo]
+        for x, got in zip(new, self.encode(new), strict=True):
+            known[x] = self.whole.get(x, got)
+        return [known[x] for x in pieces]
 
 
 _CLASS: dict[str, np.ndarray] = {}
@@ -184,21 +222,20 @@ def piece_starts(b: np.ndarray, off: np.ndarray) -> np.ndarray:
     return lead[start]
 
 
-def _gather(parts: list[bytes], inv: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """The parts that inv names, one after the other, and where each begins, with the end."""
-    flat = np.frombuffer(b"".join(parts), dtype)
-    n = np.array([len(x) for x in parts], np.int64) // flat.itemsize
-    begin = (np.cumsum(n) - n)[inv]
-    size = n[inv]
-    to = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-    return flat[np.arange(to[-1]) + np.repeat(begin - to[:-1], size)], to
+def distinct(data: bytes, s: np.ndarray, e: np.ndarray, keys: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct spans data[s:e], and which of them each is. Hashes only find equal ones: their bytes are compared."""
+    _, first, inv = np.unique(keys, return_index=True, return_inverse=True)
+    b, n, same = np.frombuffer(data, np.uint8), e - s, first[inv]
+    if (n == n[same]).all() and (b == b[np.arange(len(b)) + np.repeat(s[same] - s, n)]).all():  # spans are side by side
+        return [data[x:y] for x, y in zip(s[first].tolist(), e[first].tolist(), strict=True)], inv
+    seen: dict[bytes, int] = {}
+    inv = np.array([seen.setdefault(data[x:y], len(seen)) for x, y in zip(s.tolist(), e.tolist(), strict=True)])
+    return list(seen), inv
 
 
 def encode_block(part: pa.RecordBatch, path: str) -> tuple[list[bytes], list[bytes]]:
-    """The ids (little-endian, 4 bytes each) and decoded bytes of each text."""
+    """The ids (little-endian, 4 bytes each) of each text, and the bytes that those ids decode to."""
     bpe = Bpe.of(path)
-    if len(bpe.memo) > MEMO:
-        bpe.memo.clear()
     keys, starts, ends, cut, data, at, n = [], [], [], [np.zeros(1, np.int64)], [], 0, 0
     for small in blocks(part, 128 << 10):  # what the processor's cache holds
         b, off = raw(column(small))
@@ -215,27 +252,26 @@ def encode_block(part: pa.RecordBatch, path: str) -> tuple[list[bytes], list[byt
         at, n = at + len(b), n + len(s)
     if not n:
         return [b""] * part.num_rows, [b""] * part.num_rows
-    data, s, e, cut = b"".join(data), np.concatenate(starts), np.concatenate(ends), np.concatenate(cut)
-    keys, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    keys = keys.tolist()
-    new = [i for i, k in enumerate(keys) if k not in bpe.memo]
-    found = first[new]
-    bpe.learn([data[x:y] for x, y in zip(s[found].tolist(), e[found].tolist(), strict=True)], [keys[i] for i in new])
-    known = [bpe.memo[k] for k in keys]
-    out = []
-    for k, dtype in enumerate(("<u4", "u1")):
-        flat, to = _gather([x[k] for x in known], inv, dtype)
-        buf, ends = flat.tobytes(), (to[cut] * flat.itemsize).tolist()
-        out.append([buf[x:y] for x, y in zip(ends, ends[1:], strict=False)])
-    return out[0], out[1]
+    cut = np.concatenate(cut)
+    pieces, inv = distinct(b"".join(data), np.concatenate(starts), np.concatenate(ends), np.concatenate(keys))
+    known = bpe.ids(pieces)
+    size = np.array([len(x) for x in known], np.int64) // 4
+    flat = np.frombuffer(b"".join(known), "<u4")
+    begin, size = (np.cumsum(size) - size)[inv], size[inv]
+    to = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    ids, ends = flat[np.arange(to[-1]) + np.repeat(begin - to[:-1], size)], to[cut]
+    return [ids[x:y].tobytes() for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)], bpe.decode(ids, ends)
 
 
 def tokenize(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """Encode and decode every whole text of docs by the rank file at `path`, without special tokens.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids (little-endian
-    unsigned 32-bit integers). A null text counts as empty and has no tokens. Repeated rows stay.
+    unsigned 32-bit integers). A null text counts as empty and has no tokens. Repeated rows, and rows without doc_id, stay;
+    an empty table gives an empty result. Other columns of docs, whatever their names, are not read.
     """
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("pieces are cut by another pattern than that of the rank files")
 
     def run(part: pa.RecordBatch) -> dict:
         codes, text = encode_block(part, path)
