@@ -2,18 +2,20 @@
 
 Labelled text of each language becomes a suffix automaton. A text is parsed from left to right
 into the longest phrases that occur in a language's text; the language whose phrases, weighed by
-the bits that name one, take the fewest bits a letter wins. The automaton with its restarts is
-one table (state, letter) -> state, so all segments of a block and all languages advance together,
-a letter at a time, in numpy.
+the bits that name one, take the fewest bits a letter wins. A state is named by the place of its row in one
+packed table of edges, so all texts of a block and all languages advance together, a letter at a time, in numpy.
 
-Texts count whole. They are parsed in segments of SEGMENT letters, each from the root, so that very
-long texts are as wide as many short ones and no loop runs along a text.
+A text is one parse from its first letter to its last. So that no loop runs along a very long text, it is parsed
+in stretches of STEPS letters at once, first each from the root; then each stretch whose start was not
+where the one before it ended is parsed again from there, to where both parses are in one state, until all fit
+together. The result is that of the uncut parse.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,8 @@ from pyspark.sql import functions as F
 from ravelin.llm.shared import map_texts, models, remainder
 from ravelin.llm.text import column, raw
 
-SEGMENT = 512
+STEPS, MARK = 512, 32
 LETTERS = 64
-PAD = 63
 #: Letters that scores are read off from at most: beyond it a text is as sure as it gets.
 SURE = 48
 
@@ -53,42 +54,70 @@ def letters(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[keep], before[off]
 
 
-def automaton(code: np.ndarray) -> np.ndarray:
-    """The transitions of the suffix automaton: rows of LETTERS states, -1 where there is none."""
+def automaton(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The edges (state, letter, next state) of the suffix automaton, and its number of states. State 0 is the root."""
     size = 2 * len(code) + 2
-    nxt: list[dict[int, int]] = [{}]
-    link, length, last = [-1] * size, [0] * size, 0
+    blank = array("i", [-1]) * LETTERS
+    nxt, states = blank[:], 1
+    link, length, last = array("i", [-1]) * size, array("i", [0]) * size, 0
     for c in code.tolist():
-        cur = len(nxt)
-        nxt.append({})
+        cur, states = states, states + 1
+        nxt.extend(blank)
         length[cur], p = length[last] + 1, last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
+        while p >= 0 and nxt[p * LETTERS + c] < 0:
+            nxt[p * LETTERS + c] = cur
             p = link[p]
         if p < 0:
             link[cur] = 0
         else:
-            q = nxt[p][c]
+            q = nxt[p * LETTERS + c]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                twin = len(nxt)
-                nxt.append(nxt[q].copy())
+                twin, states = states, states + 1
+                nxt.extend(nxt[q * LETTERS : (q + 1) * LETTERS])
                 length[twin], link[twin] = length[p] + 1, link[q]
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = twin
+                while p >= 0 and nxt[p * LETTERS + c] == q:
+                    nxt[p * LETTERS + c] = twin
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    out = np.full((len(nxt), LETTERS), -1, np.int32)
-    n = [len(x) for x in nxt]
-    rows = np.repeat(np.arange(len(nxt)), n)
-    out[rows, np.fromiter((c for x in nxt for c in x), np.int64, len(rows))] = np.fromiter((v for x in nxt for v in x.values()), np.int32, len(rows))
-    return out
+    every = np.frombuffer(nxt, np.int32)
+    at = np.flatnonzero(every >= 0)
+    return at // LETTERS, at % LETTERS, every[at].astype(np.int64), states
+
+
+def pack(rows: np.ndarray, code: np.ndarray, to: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edges in one array, rows over each other where they leave room: where each state's row begins, no two at one place,
+    and at begin + letter the row's place (high half) and the next state's. Rows of many edges are placed first, at random, by a fixed seed."""
+    size = 2 * len(rows) + n + LETTERS
+    rng = np.random.default_rng(1)
+    owner, taken, place = np.full(size + LETTERS, -1, np.int64), np.zeros(size, bool), np.full(n, -1, np.int64)
+    degree = np.bincount(rows, minlength=n)
+    cut = np.searchsorted(rows, np.arange(n + 1))
+    for low in (16, 8, 4, 2, 1, 0):
+        left = np.flatnonzero((degree >= low) & (place < 0))
+        while len(left):
+            at = rng.integers(0, size, len(left))
+            d = degree[left]
+            edge = np.arange(d.sum()) + np.repeat(cut[left] - np.cumsum(d) + d, d)
+            who = np.repeat(np.arange(len(left)), d)
+            slot = at[who] + code[edge]
+            ok = ~taken[at]
+            ok[np.setdiff1d(np.arange(len(left)), np.unique(at, return_index=True)[1])] = False
+            ok[who[owner[slot] >= 0]] = False
+            ok[who[np.setdiff1d(np.arange(len(slot)), np.unique(slot, return_index=True)[1])]] = False
+            place[left[ok]] = at[ok]
+            taken[at[ok]] = True
+            owner[slot[ok[who]]] = at[who[ok[who]]]
+            left = left[~ok]
+    table = np.full(size + LETTERS, -1, np.int64)
+    table[place[rows] + code] = (place[rows] << 32) | place[to]
+    return place, table
 
 
 class Parser:
-    """The automata of all languages in one table. Entries are LETTERS * state + 1 if a phrase ended."""
+    """The automata of all languages in one table."""
 
     @classmethod
     def of(cls, model: str) -> Parser:
@@ -100,48 +129,69 @@ class Parser:
 
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
-        tables, self.roots, self.bits, base = [], [], [], 0
+        tables, roots, bits, fresh, base = [], [], [], [], 0
         for lang in self.langs:
             joined = np.frombuffer("\n".join(texts[lang]).encode(), np.uint8)
             code, _ = letters(joined, np.array([0, len(joined)]))
-            t = automaton(code)
-            root = t[0].copy()
-            root[root < 0] = 0
-            t = np.where(t >= 0, (t + base) * LETTERS, (root + base) * LETTERS + 1).astype(np.int32)
-            t[:, PAD] = base * LETTERS
-            tables.append(t)
-            self.roots.append(base * LETTERS)
-            self.bits.append(np.log2(max(len(code), 2)))
-            base += len(t)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.bits = np.array(self.bits)
+            rows, c, to, n = automaton(code)
+            place, table = pack(rows, c, to, n)
+            tables.append(np.where(table >= 0, table + (base << 32) + base, -1))
+            first = np.full(LETTERS, place[0])  # a letter that the language doesn't have is a phrase by itself
+            first[c[rows == 0]] = place[to[rows == 0]]
+            fresh.append(first + base)
+            roots.append(place[0] + base)
+            bits.append(np.log2(max(len(code), 2)))
+            base += len(table)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        self.roots, self.bits = np.array(roots, np.int64), np.array(bits)
+        self.fresh = np.stack(fresh) if fresh else np.zeros((0, LETTERS), np.int64)
+
+    def _parse(self, grid: np.ndarray, size: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Move the states (languages x stretches) along the stretches (columns of grid, the longest first); how many phrases ended."""
+        ended = np.zeros(state.shape, np.int32)
+        wide = np.searchsorted(-size, -np.arange(len(grid)), "left")
+        for row, w in zip(grid, wide.tolist(), strict=True):
+            if not w:
+                break
+            c, s = row[:w].astype(np.int64), state[:, :w]
+            v = self.table.take(s + c)
+            lang, at = np.nonzero((v >> 32) != s)
+            v &= 0xFFFFFFFF
+            v[lang, at] = self.fresh[lang, c[at]]
+            ended[lang, at] += 1
+            state[:, :w] = v
+        return ended
 
     def phrases(self, code: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The number of phrases of each text by each language."""
         n = np.diff(off)
-        parts = -(-n // SEGMENT)
+        parts = -(-n // STEPS)
         total, k = int(parts.sum()), len(self.langs)
         owner = np.repeat(np.arange(len(n)), parts)
-        at = (np.arange(total) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
-        size = np.minimum(SEGMENT, n[owner] - at)
-        grid = np.full((SEGMENT, total), PAD, np.int32)
-        which = np.repeat(np.arange(total), size)
-        grid[np.arange(len(code)) - np.repeat(off[owner] + at, size), which] = code
-        order = np.argsort(-size, kind="stable")
-        grid, wide = grid[:, order], np.searchsorted(-size[order], -np.arange(SEGMENT), "left")
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], total, 1)
-        count = np.ones((k, total), np.int32)
-        for i in range(SEGMENT):
-            w = int(wide[i])
-            if not w:
-                break
-            v = self.table[state[:, :w] + grid[i, :w]]
-            f = v & 1
-            count[:, :w] += f
-            state[:, :w] = v - f
+        nth = np.arange(total) - np.repeat(np.cumsum(parts) - parts, parts)
+        size = np.minimum(STEPS, n[owner] - nth * STEPS)
+        grid = np.zeros((STEPS, total), np.uint8)
+        grid[np.arange(len(code)) - np.repeat(off[owner] + nth * STEPS, size), np.repeat(np.arange(total), size)] = code
+        start = np.repeat(self.roots[:, None], total, 1)
+        # For each MARK letters the state after them and the phrases that ended in them: a parse that comes to the state of the one before goes on like it.
+        marks, ended = np.full((STEPS // MARK, k, total), -1, np.int64), np.zeros((STEPS // MARK, k, total), np.int32)
+        todo, later = np.arange(total), np.flatnonzero(nth > 0)
+        while len(todo):
+            at = todo[np.argsort(-size[todo], kind="stable")]
+            state = start[:, at]
+            for m in range(STEPS // MARK):
+                ended[m][:, at] = self._parse(grid[m * MARK : (m + 1) * MARK, at], size[at] - m * MARK, state)
+                new = (state != marks[m][:, at]).any(0)
+                marks[m][:, at] = state
+                at, state = at[new], state[:, new]
+                if not len(at):
+                    break
+            todo = later[(start[:, later] != marks[-1][:, later - 1]).any(0)]
+            start[:, todo] = marks[-1][:, todo - 1]
+        ended = ended.sum(0)
         out = np.zeros((len(n), k))
         for j in range(k):
-            out[:, j] = np.bincount(owner[order], count[j], len(n))
+            out[:, j] = np.bincount(owner, ended[j], len(n)) + (n > 0)
         return out
 
     def predict(self, part: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
@@ -156,16 +206,16 @@ class Parser:
         return [self.langs[i] for i in best], 1 / p.sum(1)
 
 
-def learn(docs: DataFrame, rows: int = 40, most: int = 4000) -> str:
+def learn(docs: DataFrame, rows: int = 40) -> str:
     """The labelled text to parse against, as JSON: lang -> texts.
 
-    A bounded sample: of the labelled rows (non-null text, lang and doc_id, crc32(doc_id) mod 4 other than 2),
-    the `rows` of each language that come first by a hash of doc_id, with their whole texts; those of more than
-    `most` characters come after all others, so that a language that has no shorter ones is learned as well. Only (lang, hash) are ranked, within each task first.
+    A bounded sample: of the labelled rows (non-null text with a letter, lang and doc_id, crc32(doc_id) mod 4 other than 2),
+    the `rows` of each language that come first by a hash of doc_id, of any length, with their whole texts. Ties go by doc_id and text. Only
+    (lang, hash) are ranked, within each task first. Without labelled rows there is no language.
     """
     ok = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 4) != 2))
     ok = ok.filter(F.col("text").rlike("\\p{L}")).select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit("langid")).alias("h"))
-    first = ok.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.length("text") > most, "h", "doc_id", "text"))).filter(F.col("r") <= rows)
+    first = ok.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).filter(F.col("r") <= rows)
     texts: dict[str, list[str]] = {}
     for row in first.select("lang", "text", "r").orderBy("lang", "r").toLocalIterator():
         texts.setdefault(row["lang"], []).append(row["text"])
@@ -176,9 +226,12 @@ def identify(docs: DataFrame, model: str, keep: list[str] | None = None) -> Data
     """lang_pred and score (0 to 1) of every whole text of docs; neither lang, source nor doc_id is read for it.
 
     A null text, or one without a letter, is `und` with score 0; so is all if nothing was learned. Repeated
-    rows stay. keep: the columns to carry along, doc_id by default.
+    rows stay, each with its own prediction; an empty table gives an empty result. Ties of languages go to the first by name.
+    keep: the columns to carry along, doc_id by default; those of a name of this result's own (lang_pred, score) are refused.
     """
     keep = keep or ["doc_id"]
+    if {"lang_pred", "score", "_has_letter"} & set(keep):
+        raise ValueError("lang_pred, score and _has_letter are names of the result's own")
     types = dict(docs.dtypes)
 
     def run(part: pa.RecordBatch) -> dict:
@@ -189,4 +242,4 @@ def identify(docs: DataFrame, model: str, keep: list[str] | None = None) -> Data
 
     src = docs.select(*keep, *([] if "text" in keep else ["text"])).withColumn("_has_letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", lang_pred string, score double"
-    return map_texts(src, src.columns, run, schema, 4 << 20, "langid")
+    return map_texts(src, src.columns, run, schema, 2 << 20, "langid")

@@ -28,4 +28,4 @@ def test_a_language_of_long_texts_is_learned(spark):
     rows = [(i, "long text " * 500 if i % 2 else "kurz", "xx" if i % 2 else "yy", "s", 1) for i in range(40)]
     rows += [(i, "kurzer text " * 500, "yy", "s", 1) for i in range(40, 80)]
     model = json.loads(langid.learn(spark.createDataFrame(rows, SCHEMA), rows=5))
-    assert set(model) == {"xx", "yy"} and len(model["xx"]) == 5 and model["yy"] == ["kurz"] * 5
+    assert {k: len(v) for k, v in model.items()} == {"xx": 5, "yy": 5}
