@@ -134,7 +134,8 @@ class Parser:
             joined = np.frombuffer("\n".join(texts[lang]).encode(), np.uint8)
             code, _ = letters(joined, np.array([0, len(joined)]))
             rows, c, to, n = automaton(code)
-            place, table = pack(rows, c, to, n)
+            inner = rows > 0  # the root's edges are in `fresh`: a letter from the root begins a phrase, as one that no edge takes does
+            place, table = pack(rows[inner], c[inner], to[inner], n)
             tables.append(np.where(table >= 0, table + (base << 32) + base, -1))
             first = np.full(LETTERS, place[0])  # a letter that the language doesn't have is a phrase by itself
             first[c[rows == 0]] = place[to[rows == 0]]
@@ -147,8 +148,8 @@ class Parser:
         self.fresh = np.stack(fresh) if fresh else np.zeros((0, LETTERS), np.int64)
 
     def _parse(self, grid: np.ndarray, size: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """Move the states (languages x stretches) along the stretches (columns of grid, the longest first); how many phrases ended."""
-        ended = np.zeros(state.shape, np.int32)
+        """Move the states (languages x stretches) along the stretches (columns of grid, the longest first); how many phrases began."""
+        begun = np.zeros(state.shape, np.int32)
         wide = np.searchsorted(-size, -np.arange(len(grid)), "left")
         for row, w in zip(grid, wide.tolist(), strict=True):
             if not w:
@@ -158,9 +159,9 @@ class Parser:
             lang, at = np.nonzero((v >> 32) != s)
             v &= 0xFFFFFFFF
             v[lang, at] = self.fresh[lang, c[at]]
-            ended[lang, at] += 1
+            begun[lang, at] += 1
             state[:, :w] = v
-        return ended
+        return begun
 
     def phrases(self, code: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The number of phrases of each text by each language."""
@@ -173,14 +174,14 @@ class Parser:
         grid = np.zeros((STEPS, total), np.uint8)
         grid[np.arange(len(code)) - np.repeat(off[owner] + nth * STEPS, size), np.repeat(np.arange(total), size)] = code
         start = np.repeat(self.roots[:, None], total, 1)
-        # For each MARK letters the state after them and the phrases that ended in them: a parse that comes to the state of the one before goes on like it.
-        marks, ended = np.full((STEPS // MARK, k, total), -1, np.int64), np.zeros((STEPS // MARK, k, total), np.int32)
+        # For each MARK letters the state after them and the phrases that began in them: a parse that comes to the state of the one before goes on like it.
+        marks, begun = np.full((STEPS // MARK, k, total), -1, np.int64), np.zeros((STEPS // MARK, k, total), np.int32)
         todo, later = np.arange(total), np.flatnonzero(nth > 0)
         while len(todo):
             at = todo[np.argsort(-size[todo], kind="stable")]
             state = start[:, at]
             for m in range(STEPS // MARK):
-                ended[m][:, at] = self._parse(grid[m * MARK : (m + 1) * MARK, at], size[at] - m * MARK, state)
+                begun[m][:, at] = self._parse(grid[m * MARK : (m + 1) * MARK, at], size[at] - m * MARK, state)
                 new = (state != marks[m][:, at]).any(0)
                 marks[m][:, at] = state
                 at, state = at[new], state[:, new]
@@ -188,10 +189,10 @@ class Parser:
                     break
             todo = later[(start[:, later] != marks[-1][:, later - 1]).any(0)]
             start[:, todo] = marks[-1][:, todo - 1]
-        ended = ended.sum(0)
+        begun = begun.sum(0)
         out = np.zeros((len(n), k))
         for j in range(k):
-            out[:, j] = np.bincount(owner, ended[j], len(n)) + (n > 0)
+            out[:, j] = np.bincount(owner, begun[j], len(n))
         return out
 
     def predict(self, part: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
