@@ -11,10 +11,10 @@ only the classifier's weights are fitted in numpy, on a bounded sample.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import materialize
+from ravelin.llm.shared import first_of_each, materialize
 
 NONE = "(none)"
 
@@ -63,7 +63,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000):
     """Fit to a bounded sample: of the rows with a quality label and a text, the first `rows` of each class by a hash of doc_id."""
     y = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    first = y.withColumn("r", F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id"))).filter(F.col("r") <= rows).select("doc_id", "quality")
+    first = first_of_each(y, "quality", rows, "quality")
     f = features()
     got = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(first), "doc_id").select("quality", *[c.alias(k) for k, c in f.items()])  # 2 * rows numbers a feature
     pdf = got.toPandas().sort_values(list(f), kind="stable")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.text import blocks
@@ -90,3 +90,27 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
 def remainder(doc_id: str, n: int):
     """crc32 of the id as text, modulo n. A null id has remainder 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))
+
+
+def first_of_each(rows: DataFrame, by: str, n: int, salt: str) -> DataFrame:
+    """The n rows (doc_id, by) of each of the few values of by that come first by a hash of doc_id, ties by doc_id.
+
+    The hash is cut so that about 2n rows a value are ranked at all; where chance leaves fewer than n, all of that value are.
+    """
+    h = F.xxhash64("doc_id", F.lit(salt))
+    sizes = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    some = rows.withColumn("h", h)
+
+    def below(value, share: float):
+        return (F.col(by) == F.lit(value)) & (F.col("h") <= F.lit(int(-(2**63) + min(share, 1.0) * (2**64 - 1024))).cast("long")) if share < 1 else F.col(by) == F.lit(value)
+
+    wanted = {v: (2.0 * n + 100) / c for v, c in sizes.items()}
+    pick = F.lit(False)
+    for v, share in wanted.items():
+        pick = pick | below(v, share)
+    got = {r[by]: r["count"] for r in some.filter(pick).groupBy(by).count().collect()}
+    pick = F.lit(False)
+    for v, share in wanted.items():
+        pick = pick | below(v, share if got.get(v, 0) >= n else 1.0)
+    order = Window.partitionBy(by).orderBy("h", "doc_id")
+    return some.filter(pick).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n).select("doc_id", by)

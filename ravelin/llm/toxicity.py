@@ -7,8 +7,9 @@ in far more toxic than other training documents. The chain is fitted to those la
 on the exact log-likelihood (forward-backward); marginals of all tokens add up to a document's
 score by a logistic curve fitted to the documents' labels.
 
-All chains of a block advance together; a text is cut into chains of CHAIN tokens, so a very long
-text is as many chains, and memory follows the block.
+A text is one chain. All chains of a block advance together in stretches of STRETCH tokens, so that no loop runs along
+a very long text: what a stretch does to the messages is a 2 x 2 matrix, the product of its steps, so those at
+the ends of stretches come from a scan over a text's stretches. The marginals are those of the uncut chain.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import map_texts, models, remainder
+from ravelin.llm.shared import first_of_each, map_texts, models, remainder
 from ravelin.llm.text import U64, column, mix, prefix_sums, raw, span_hashes, word_bounds
 
 BITS = 19
-CHAIN = 64
+STRETCH = 64
 SHARE = 0.02
 PREFIXES = (3, 4, 5, 6)
 BETWEEN = np.ones(256, bool)
@@ -44,13 +45,27 @@ def tokens(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.stack([(r >> U64(64 - BITS)).astype(np.int32) for r in rows]) if len(s) else np.zeros((len(rows), 0), np.int32), s, e, first
 
 
-def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First token and length of each chain."""
+def stretches(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token and length of each stretch, and its number within its text."""
     n = np.diff(first)
-    parts = -(-n // CHAIN)
-    at = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * CHAIN
-    begin = np.repeat(first[:-1], parts) + at
-    return begin, np.minimum(CHAIN, np.repeat(n, parts) - at)
+    parts = -(-n // STRETCH)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(first[:-1], parts) + nth * STRETCH, np.minimum(STRETCH, np.repeat(n, parts) - nth * STRETCH), nth
+
+
+def _joints(m: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward message at the token before each stretch and the backward one at its last token, from what stretches do (2 x 2 x stretches)."""
+    into, after = np.full((2, len(nth)), 0.5), np.ones((2, len(nth)))
+    by = np.argsort(nth, kind="stable")
+    cut = np.searchsorted(nth[by], np.arange(1, nth.max() + 2))
+    turns = [by[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+    for at in turns:
+        x = np.einsum("ijw,iw->jw", m[:, :, at - 1], into[:, at - 1])
+        into[:, at] = x / x.sum(0)
+    for at in reversed(turns):
+        x = np.einsum("ijw,jw->iw", m[:, :, at], after[:, at])
+        after[:, at - 1] = x / x.sum(0)
+    return into, after
 
 
 def marginals(emit: np.ndarray, first: np.ndarray, go: np.ndarray, pairs: bool = False):
@@ -59,7 +74,7 @@ def marginals(emit: np.ndarray, first: np.ndarray, go: np.ndarray, pairs: bool =
     emit: the log-odds of the toxic state from each token alone; go: 2 x 2 transition scores.
     With pairs, also the expected number of each transition.
     """
-    begin, size = chains(first)
+    begin, size, nth = stretches(first)
     out = np.zeros(len(emit))
     trans = np.exp(go)
     count = np.zeros((2, 2))
@@ -67,34 +82,43 @@ def marginals(emit: np.ndarray, first: np.ndarray, go: np.ndarray, pairs: bool =
         return (out, count) if pairs else out
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
-    wide = np.searchsorted(-size, -np.arange(CHAIN), "left")
+    wide = np.searchsorted(-size, -np.arange(STRETCH), "left")
+    wide = wide[wide > 0].tolist()
     e = np.clip(emit, -30, 30)
     psi = np.stack([np.exp(np.minimum(-e, 0)), np.exp(np.minimum(e, 0))])  # each over the larger, so none overflows
+    # The step to the first token of a text says nothing of either state.
+    enter = np.where(nth[order] > 0, trans[:, :, None], 1.0)
+    into, after = np.full((2, len(begin)), 0.5), np.ones((2, len(begin)))
+    if nth.any():
+        m = enter * psi[:, begin]
+        for i, w in enumerate(wide[1:], 1):
+            x = np.einsum("aiw,ij->ajw", m[:, :, :w], trans) * psi[:, begin[:w] + i]
+            m[:, :, :w] = x / x.sum((0, 1))
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        into, after = (x[:, order] for x in _joints(m[:, :, back], nth))
     alphas, scales = [], []
-    a = None
-    for i in range(CHAIN):
-        w = int(wide[i])
-        if not w:
-            break
-        p = psi[:, begin[:w] + i]
-        x = p if a is None else (trans.T @ a[:, :w]) * p
-        c = x.sum(0)
-        a = x / c
-        alphas.append(a)
-        scales.append(c)
+    for i, w in enumerate(wide):
+        x = (trans.T @ alphas[-1][:, :w] if i else np.einsum("ijw,iw->jw", enter, into)) * psi[:, begin[:w] + i]
+        scales.append(x.sum(0))
+        alphas.append(x / scales[-1])
     beta = np.zeros((2, len(begin)))
     done = 0
     for i in range(len(alphas) - 1, -1, -1):
         w = alphas[i].shape[1]
-        beta[:, done:w] = 1
+        ends = slice(done, w)
+        beta[:, ends] = after[:, ends] / (alphas[i][:, ends] * after[:, ends]).sum(0)
         done = w
         g = alphas[i] * beta[:, :w]
         out[begin[:w] + i] = g[1] / g.sum(0)
+        x = psi[:, begin[:w] + i] * beta[:, :w] / scales[i]
         if i:
-            x = psi[:, begin[:w] + i] * beta[:, :w] / scales[i]
             if pairs:
                 count += (alphas[i - 1][:, :w] @ x.T) * trans
             beta[:, :w] = trans @ x
+        elif pairs:
+            inner = nth[order] > 0
+            count += (into[:, inner] @ x[:, inner].T) * trans
     return (out, count) if pairs else out
 
 
@@ -170,9 +194,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40) -> Model:
     used = np.append(used, -1)
     w, bias, go = np.append(np.clip(odds[used[:-1]] * 0.3, -1, 2), 0.0), -4.0, np.zeros((2, 2))
     gw, gb, gg = np.full(len(used), 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    begin, _ = chains(first)
     inner = np.ones(len(label), bool)
-    inner[begin] = False
+    inner[first[:-1][np.diff(first) > 0]] = False
     at = np.flatnonzero(inner)
     seen = np.bincount(label[at - 1].astype(int) * 2 + label[at], minlength=4).reshape(2, 2)
     n = len(label)
@@ -204,20 +227,25 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40) -> Model:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 1500, most: int = 20_000) -> Model:
-    """Fit on a bounded sample: of the rows with a label, non-null text and crc32(doc_id) mod 3 other than 1, of
-    `most` characters at most, the first `rows` of each class by a hash of doc_id."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 1500) -> Model:
+    """Fit on a bounded sample: of the rows with a label, non-null text and crc32(doc_id) mod 3 other than 1, the first
+    `rows` of each class by a hash of doc_id, with whole texts of any length. Of repeated labels of an id the greatest counts, of repeated
+    texts of an id the least. Ties of the hash go by doc_id. Without labels of both classes every score is a constant.
+    """
     y = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     y = y.filter(remainder("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = y.withColumn("h", F.xxhash64("doc_id", F.lit("toxic"))).withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))).filter(F.col("r") <= rows).select("doc_id", "toxic")
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= most))
-    got = texts.join(F.broadcast(first), "doc_id").select("doc_id", "text", "toxic").toPandas()  # at most 2 * rows texts of `most` characters
-    got = got.sort_values(["doc_id", "text"])
+    first = first_of_each(y, "toxic", rows, "toxic")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(first), "doc_id")  # at most 2 * rows ids
+    got = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id")
     return fit(got["text"].tolist(), got["toxic"].tolist())
 
 
 def detect(docs: DataFrame, model: Model, spans: bool = False, cut: float = 0.5) -> DataFrame:
-    """Score every whole text of docs (null: empty). With spans, also the offending byte offsets: runs of tokens whose marginal is at least cut."""
+    """doc_id, score (0 to 1) and predicted (1 from 0.7 on) of every whole text of docs (null: empty).
+
+    With spans, also the offending byte offsets: runs of tokens whose marginal is at least cut. Repeated rows and null ids stay, equal
+    texts have equal scores, an empty table gives an empty result; other columns, whatever their names, are not read.
+    """
     data = model.dump()
 
     def run(part: pa.RecordBatch) -> dict:
