@@ -2,14 +2,16 @@
 
 A document's shingles are K consecutive words, each labelled with how often it occurred before in the document. For
 each of BANDS seeds the ELL labelled shingles of least hash are taken and put back into text order; the hash of that
-sequence is a bucket. Documents of one bucket are candidates. Two candidates are near copies if a banded
-alignment of their words leaves shingles in common, in order, of at least LIKE of all shingles of both.
+sequence is a bucket. Documents of one bucket are candidates. Two candidates are near copies if a banded alignment of
+their words matches at least LIKE of the words of the longer one, in order.
 
 Equal word sequences are one class from the start and go on as one document. Pairs are never listed by bucket: in each of
 ROUNDS rounds a bucket's first document that has not led yet is compared with the members that are not yet of its class,
-and buckets of one class are done. Members that no leader explains are then compared tile by tile, TILE members
-against TILE, inside tasks that return links only, so the rest is exact as well. Before that, members of large buckets
-go whose own shingles alone rule out a near copy.
+and buckets of one class are done. Members that no leader explains are compared with each other inside tasks that
+return links only: those of buckets of up to TILE members directly. Members of larger buckets meet where they share one of their
+rarest words: texts that have LIKE of their words in common share one of the rarest 1 - LIKE, whatever order says what
+is rare, so no link is lost, and texts with one passage in common don't meet. Groups that are large even so are cut by length
+and compared tile by tile.
 """
 
 from __future__ import annotations
@@ -22,8 +24,14 @@ from pyspark.sql import functions as F
 from ravelin.llm.shared import map_texts, materialize, release, ship
 from ravelin.llm.text import BASE, U64, blocks, column, gram_hashes, inside, mix, owners, prefix_sums, raw, span_hashes, word_bounds, word_hashes
 
-K, ELL, BANDS, LIKE = 5, 3, 16, 0.8
-ROUNDS, PRUNES, TILE = 3, 2, 256
+K, ELL, BANDS, LIKE = 5, 2, 24, 0.8
+ROUNDS, TILE = 3, 256
+#: Words of the texts of a tile, but for one longer text.
+WORDS = 200_000
+#: Counters that say how rare words are, of a fixed size whatever the input.
+COUNTERS = 1 << 20
+#: Buckets of more members than HOT are joined by a broadcast of at most MANY of them.
+HOT, MANY = 1000, 100_000
 MOST = U64(2**64 - 1)
 
 
@@ -82,72 +90,74 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(n[i], m[j]).sum())
 
 
-def aligned(a: list, b: list, most: int) -> int:
-    """The shingles within the matched runs of a shortest edit script of at most `most` inserted and deleted words
-    (a band of as many diagonals); -1 if there is none."""
+def aligned(a: list, b: list, need: int) -> bool:
+    """Whether an alignment matches `need` words of a and b, in order.
+
+    Such an alignment leaves len(a) - need words of a and len(b) - need of b over, so it stays in a band of as many diagonals. A row of the
+    band is one integer: bit i is 0 where the best alignment up to there has one match more than before it.
+    """
     n, m = len(a), len(b)
-    far, trace, d = {1: 0}, [], 0
-    while d <= most:
-        trace.append(far.copy())
-        for k in range(-d, d + 1, 2):
-            x = far.get(k + 1, -1) if k == -d or k != d and far.get(k - 1, -1) < far.get(k + 1, -1) else far.get(k - 1, -1) + 1
-            y = x - k
-            if x > n or y > m or x < 0 or y < 0:
-                continue
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            far[k] = x
-            if x >= n and y >= m:
-                return _runs(trace, n, m)
-        d += 1
-    return -1
-
-
-def _runs(trace: list, n: int, m: int) -> int:
-    total, x, y = 0, n, m
-    for d in range(len(trace) - 1, -1, -1):
-        far, k = trace[d], x - y
-        last = k + 1 if k == -d or k != d and far.get(k - 1, -1) < far.get(k + 1, -1) else k - 1
-        if d == 0:
-            return total + max(0, min(x, y) - K + 1)
-        px = far[last]
-        py = px - last
-        run = min(x - px, y - py)
-        total += max(0, run - K + 1)
-        x, y = px, py
-    return total
+    over, under = n - need, m - need
+    if over < 0 or under < 0 or need <= 0:
+        return need <= 0
+    masks: dict = {}
+    for i, w in enumerate(a):
+        masks[w] = masks.get(w, 0) | 1 << i
+    width = over + under + 1
+    full = (1 << width) - 1
+    row, low, gone = full, -under, 0  # bit 0 of row stands for word `low` of a; `gone` are the matches left of the band
+    for j, w in enumerate(b):
+        if j:
+            gone += ~row & 1
+            row = row >> 1 | 1 << width - 1
+            low += 1
+        x = masks.get(w)
+        if x:
+            x = (x >> low if low > 0 else x << -low) & full
+            hit = row & x
+            row = (row + hit | row - hit) & full
+        if not j & 63 and gone + width - row.bit_count() + m - j - 1 < need:
+            return False
+    return gone + width - row.bit_count() >= need
+
+
+def needed(n: int, m: int) -> int:
+    """The words that near copies of n and m words have in common."""
+    return int(np.ceil(LIKE * max(n, m) - 1e-9))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two word sequences (hashes) are near copies."""
-    n, m = len(a) - K + 1, len(b) - K + 1
-    if n < 1 or m < 1:
-        return len(a) == len(b) and bool((a == b).all())
-    if min(n, m) < LIKE * max(n, m):
-        return False
-    if shared(gram_hashes(a, K), gram_hashes(b, K)) < LIKE / (1 + LIKE) * (n + m) - 1e-9:
+    """Whether two word sequences (hashes) are near copies. What has fewer than K words has equal ones only."""
+    n, m = len(a), len(b)
+    if min(n, m) < K:
+        return n == m and bool((a == b).all())
+    need = needed(n, m)
+    if min(n, m) < need or shared(a, b) < need:
         return False
-    # Each inserted or deleted word is in a shingle that is not in common, but for the K - 1 last of either text.
-    most = int((1 - LIKE) / LIKE * min(n, m)) + 2 * K
-    got = aligned(a.tolist(), b.tolist(), most)
-    return got >= LIKE * (n + m - got) - 1e-9
+    # What both begin and end with is part of a best alignment.
+    k = min(n, m)
+    differ = np.flatnonzero(a[:k] != b[:k])
+    head = int(differ[0]) if len(differ) else k
+    differ = np.flatnonzero(a[n - k + head :][::-1] != b[m - k + head :][::-1])
+    tail = int(differ[0]) if len(differ) else k - head
+    return aligned(a[head : n - tail].tolist(), b[head : m - tail].tolist(), need - head - tail)
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
     def run(part: pa.RecordBatch) -> dict:
         h, first = word_hashes(column(part))
         keys = sequence_keys(h, first).view(np.int64)
-        words = np.diff(first) > 0
+        n = np.diff(first)
+        words = n > 0
         got, has = sketches(h, first)
         rows = np.cumsum(has) - 1
-        out = {"doc_id": part.column(0)}
+        out = {"doc_id": part.column(0), "n": pa.array(n, pa.int64())}
         for i in (0, 1):
             out[f"k{i + 1}"] = pa.array(keys[i], mask=~words)
         return out | {"buckets": pa.array([got[r].view(np.int64) if x else None for r, x in zip(rows, has, strict=True)], pa.list_(pa.int64()))}
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
-    return map_texts(src, ["doc_id", "text"], run, "doc_id long, k1 long, k2 long, buckets array<long>", 512 << 10)
+    return map_texts(src, ["doc_id", "text"], run, "doc_id long, n long, k1 long, k2 long, buckets array<long>", 512 << 10)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -185,8 +195,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
-    """The shingles of one text, the k-th occurrence of each as a value of its own: common values count a multiset's intersection."""
-    g = np.sort(gram_hashes(h, K))
+    """The words of one text, the k-th occurrence of each as a value of its own: common values count a multiset's intersection."""
+    g = np.sort(h)
     at = np.flatnonzero(np.diff(g, prepend=g[:1] + U64(1)))
     return mix(g + (np.arange(len(g)) - np.repeat(at, np.diff(np.append(at, len(g))))).astype(U64) * BASE)
 
@@ -209,48 +219,88 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return out
 
 
-def _hopeless(reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """The reps of which more than 1 - LIKE of the shingles are in no other rep's text: they are near copies of none. What is left
-    without them shares less, so this goes on PRUNES times. One count over shingles each time, made in each task first."""
+def with_table(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined with table (bucket, n, ...), a row for each bucket. The members of buckets of over HOT members stay where they are."""
+    table = materialize(table, "table")
+    hot = table.filter(F.col("n") > HOT)
+    if not 0 < hot.limit(MANY + 1).count() <= MANY:
+        return rows.join(table, "bucket")
+    marked = rows.join(F.broadcast(hot.select("bucket", F.lit(True).alias("hot"))), "bucket", "left")
+    cold = marked.filter("hot is null").drop("hot").join(table.filter(F.col("n") <= HOT), "bucket")
+    return cold.unionByName(marked.filter("hot").drop("hot").join(F.broadcast(hot), "bucket"))
 
-    def run(part: pa.RecordBatch) -> dict:
+
+def rarest(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, rep, comp, n): the reps (rep, comp, n) by those of their rarest words that another one may have as well.
+
+    Two multisets of n and m values with LIKE of the greater number in common share one of the first n - LIKE n + 1 of the one and
+    as many of the other, by any order of the values. The order is by how often a value's counter was hit, then by value. A value whose
+    counter was hit once is in no other text.
+    """
+    src = texts.withColumnRenamed("doc_id", "rep").join(reps, "rep").select("rep", "comp", "n", "text")
+
+    def values(part: pa.RecordBatch) -> list[np.ndarray]:
         h, first = word_hashes(column(part))
-        g = [labelled(h[first[i] : first[i + 1]]) for i in range(part.num_rows)]
-        n = np.array([len(v) for v in g], np.int64)
-        return {"rep": np.repeat(part.column(0).to_numpy(), n), "n": np.repeat(n, n), "g": np.concatenate(g).view(np.int64)}
+        return [labelled(h[first[i] : first[i + 1]]) for i in range(part.num_rows)]
+
+    def hits(part: pa.RecordBatch) -> dict:
+        n = np.bincount((np.concatenate(values(part)) >> U64(44)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        return {"c": at, "n": n[at]}
+
+    counts = map_texts(src.select("text"), ["text"], hits, "c long, n long", 4 << 20).groupBy("c").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
+    often = np.zeros(COUNTERS, np.int32)
+    often[counts["c"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), 2**31 - 1)
+    often = src.sparkSession.sparkContext.broadcast(often)  # four bytes a counter
+
+    def first_values(part: pa.RecordBatch) -> dict:
+        c = often.value
+        rows, keys = [], []
+        for i, g in enumerate(values(part)):
+            f = c[(g >> U64(44)).astype(np.int64)]
+            at = np.lexsort((g, f))[: len(g) - needed(len(g), len(g)) + 1]
+            at = at[f[at] > 1]
+            rows.append(np.full(len(at), i))
+            keys.append(g[at])
+        i = pa.array(np.concatenate(rows))
+        return {"bucket": np.concatenate(keys).view(np.int64)} | {k: part.column(part.schema.get_field_index(k)).take(i) for k in ("rep", "comp", "n")}
 
-    gone = None
-    for _ in range(PRUNES):
-        rest = reps if gone is None else reps.join(gone, "rep", "left_anti")
-        src = texts.withColumnRenamed("doc_id", "rep").join(rest, "rep").select("rep", "text")
-        alone = map_texts(src, ["rep", "text"], run, "rep long, n long, g long").groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"), F.min("n").alias("n")).filter("c = 1")
-        more = materialize(alone.groupBy("rep").agg(F.count(F.lit(1)).alias("u"), F.min("n").alias("n")).filter(F.col("u") > (1 - LIKE) * F.col("n") + 1e-6).select("rep"), "gone")
-        gone = more if gone is None else gone.unionByName(more)
-    return gone
+    return map_texts(src, ["rep", "comp", "n", "text"], first_values, "bucket long, rep long, comp long, n long")
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """(bucket, parts) of buckets with members of several classes: the tiles whose members and words are bounded."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / WORDS)).cast("long")
+    return members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), parts.alias("parts"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", F.col("size").alias("n"), "parts")
 
 
 def _tiles(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links within buckets (bucket, rep, comp), between members of different comp, TILE against TILE.
+    """Links within buckets (bucket, rep, comp, n), between members of different comp.
 
-    Of buckets of several tiles those members go first that can't be near copies of any other.
+    A bucket of one tile is one task's; a larger one is cut by length (near copies are of one length class or of two next to each
+    other) and each class, with the one below it, into tiles that meet each other.
     """
-    spread = members.select("bucket", "rep", "comp", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).alias("h"))
-    large = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE).select("bucket", F.lit(True).alias("large")), "large")
-    spread = spread.join(large, "bucket", "left")
-    gone = _hopeless(spread.filter("large").select("rep").distinct(), texts).withColumn("gone", F.lit(True))
-    spread = materialize(spread.join(gone, "rep", "left").filter("large is null or gone is null").select("bucket", "rep", "comp", "h"), "spread")
-    sizes = spread.groupBy("bucket").agg(((F.count(F.lit(1)) + TILE - 1) / TILE).cast("int").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "n")
-    x = spread.join(sizes, "bucket").withColumn("tile", (F.col("h") % F.col("n")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("bucket", "rep", "comp", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
-    x = x.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    sizes = _sized(members.select("bucket", "rep", "comp", "n"))
+    sizes = sizes.withColumnRenamed("n", "size")
+    x = members.select("bucket", "rep", "comp", F.col("n").alias("words")).join(sizes, "bucket")
+    step = F.floor(F.log(F.col("words").cast("double")) / float(-np.log(LIKE)) + 1e-9).cast("long")
+    low = x.filter("parts = 1").select("bucket", F.lit(-1).cast("long").alias("cls"), F.lit(-1).cast("long").alias("own"), "rep", "comp", "words")
+    high = x.filter("parts > 1").withColumn("own", step).withColumn("cls", F.explode(F.array(F.col("own"), F.col("own") + 1))).select("bucket", "cls", "own", "rep", "comp", "words")
+    again = high.groupBy("bucket", "cls").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("words") / WORDS)).cast("long").alias("parts"), F.max("own").alias("top"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b and top = cls").select("bucket", "cls", "parts")
+    high = high.join(again, ["bucket", "cls"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    high = high.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cols = ["bucket", "cls", "own", "rep", "comp", "x", "y"]
+    high = high.withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other")).select(*cols)
+    zero = F.lit(0).cast("long")
+    every = low.withColumn("x", zero).withColumn("y", zero).select(*cols).unionByName(high)
+    every = every.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
 
     def run(table: pa.Table) -> pa.Table:
         part = table.combine_chunks().to_batches()[0]
         h, first = word_hashes(column(part))
-        rep, comp = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("rep", "comp"))
+        rep, comp, own, cls = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("rep", "comp", "own", "cls"))
         words = [h[first[i] : first[i + 1]] for i in range(len(rep))]
-        sets = [labelled(w) for w in words]
-        n = np.array([len(v) for v in sets])
+        n = np.array([len(v) for v in words])
         top = {int(c): int(c) for c in comp}
 
         def root(c: int) -> int:
@@ -258,7 +308,9 @@ def _tiles(members: DataFrame, texts: DataFrame) -> DataFrame:
                 top[c] = c = top[top[c]]
             return c
 
-        found = np.argwhere(np.triu((overlaps(sets) >= LIKE / (1 + LIKE) * (n[:, None] + n[None]) - 1e-3) & (comp[:, None] != comp[None]), 1))
+        need = np.ceil(LIKE * np.maximum(n[:, None], n[None]) - 1e-9)
+        new = (own == cls)[:, None] | (own == cls)[None]  # two of the class below meet there
+        found = np.argwhere(np.triu((overlaps([labelled(w) for w in words]) >= need) & (comp[:, None] != comp[None]) & new, 1))
         out = []
         for i, j in found:
             a, b = root(int(comp[i])), root(int(comp[j]))
@@ -269,23 +321,33 @@ def _tiles(members: DataFrame, texts: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     ship(members.sparkSession)
-    return x.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
+    return every.groupBy("bucket", "cls", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def _unexplained(work: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of different comp of the buckets of work (bucket, rep, comp, n, size), that no leader gave."""
+    small = work.filter(F.col("size") <= TILE).select("bucket", "rep", "comp", "n")
+    reps = materialize(work.filter(F.col("size") > TILE).select("rep", "comp", "n").distinct(), "reps")
+    if reps.limit(1).count():
+        small = small.unionByName(materialize(rarest(reps, texts), "rarest"))
+    return _tiles(small, texts)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, the least doc_id of its near-duplicate class, of each document.
 
     A document without words, a null text among them, is a class of its own, as is one with no near copy. Rows of
-    equal doc_id are one document, with one row in the result; a null doc_id has none.
+    equal doc_id are one document, with one row in the result; a null doc_id has none. An empty table gives an empty result.
+    Near copies that share none of the BANDS buckets, with each other or over others of their class, are missed: few above 0.9, more towards LIKE.
     """
     sk = materialize(_sketch(docs), "sketch")
-    exact = materialize(sk.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")), "exact")
-    rows = exact.filter("buckets is not null").select("rep", F.explode("buckets").alias("bucket")).distinct()
+    exact = materialize(sk.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("words"), F.first("buckets").alias("buckets")), "exact")
+    rows = exact.filter("buckets is not null").select("rep", "words", F.explode("buckets").alias("bucket")).distinct()
     many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(rows.join(many, "bucket"), "members")
+    members = materialize(with_table(rows, many), "members")
     # A text in whose buckets many others are is near the middle of its group and explains most of it.
     central = materialize(members.groupBy("rep").agg(F.sum("n").alias("weight")), "central")
-    members = members.join(central, "rep").select("bucket", "rep", "weight")
+    members = members.drop("n").join(central, "rep").select("bucket", "rep", "words", "weight")
     wanted = central.select(F.col("rep").alias("doc_id"))
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id"), "texts")
     left = members.withColumn("comp", F.col("rep"))
@@ -293,23 +355,25 @@ def classes(docs: DataFrame) -> DataFrame:
     for turn in range(ROUNDS + 1):
         # Only buckets of several classes have something to compare; those that have led are done with every other.
         order = -F.col("weight") if turn < ROUNDS - 1 else F.xxhash64("rep")
-        open_ = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(order.alias("order"), "rep", "comp")).alias("lead")).filter("low <> high")
-        work = materialize(left.join(open_.select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("lead_comp")), "bucket"), "work")
+        open_ = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(order.alias("order"), "rep", "comp", "words")).alias("lead")).filter("low <> high")
+        open_ = open_.select("bucket", "n", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("lead_comp"), F.col("lead.words").alias("lead_words"))
+        work = materialize(with_table(left, open_), "work")
         if not work.limit(1).count():
             break
         if turn == ROUNDS:
-            found = _tiles(work.select("bucket", "rep", "comp"), texts)
+            found = _unexplained(work.select("bucket", "rep", "comp", F.col("words").alias("n"), F.col("n").alias("size")), texts)
         else:
-            pairs = work.filter("comp <> lead_comp").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+            near = F.least("words", "lead_words") >= F.ceil(LIKE * F.greatest("words", "lead_words") - 1e-9)
+            pairs = work.filter((F.col("comp") != F.col("lead_comp")) & near).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
             found = _verify(pairs, texts)
         found = materialize(found.distinct(), "found")
         if found.limit(1).count():
             links = found if links is None else materialize(links.unionByName(found), "all")
             labels = components(links)
         if turn < ROUNDS:
-            left = work.filter("rep <> lead").select("bucket", "rep", "weight", "comp")
+            left = work.filter("rep <> lead").select("bucket", "rep", "words", "weight", "comp")
             if labels is not None:
-                left = left.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "weight", F.coalesce("comp", "rep").alias("comp"))
+                left = left.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "words", "weight", F.coalesce("comp", "rep").alias("comp"))
             left = materialize(left, "left")
     if labels is None:
         labels = exact.select(F.col("rep").alias("node"), F.col("rep").alias("comp"))
