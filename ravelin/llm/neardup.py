@@ -29,7 +29,7 @@ ROUNDS, TILE = 3, 256
 #: Words of the texts of a tile, but for one longer text.
 WORDS = 200_000
 #: Counters that say how rare words are, of a fixed size whatever the input.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 #: Buckets of more members than HOT are joined by a broadcast of at most MANY of them.
 HOT, MANY = 1000, 100_000
 MOST = U64(2**64 - 1)
@@ -230,6 +230,21 @@ def with_table(rows: DataFrame, table: DataFrame) -> DataFrame:
     return cold.unionByName(marked.filter("hot").drop("hot").join(F.broadcast(hot), "bucket"))
 
 
+def _counters(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"n": pa.array([total.tobytes()], pa.binary())})
+
+
+def _added(batches):
+    """One row of counters of a task's rows."""
+    total, some = np.zeros(COUNTERS, np.int64), False
+    for batch in batches:
+        for x in batch.column(0):
+            some = True
+            total += np.frombuffer(x.as_buffer(), np.int64)
+    if some:
+        yield _counters(total)
+
+
 def rarest(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """(bucket, rep, comp, n): the reps (rep, comp, n) by those of their rarest words that another one may have as well.
 
@@ -243,21 +258,28 @@ def rarest(reps: DataFrame, texts: DataFrame) -> DataFrame:
         h, first = word_hashes(column(part))
         return [labelled(h[first[i] : first[i + 1]]) for i in range(part.num_rows)]
 
-    def hits(part: pa.RecordBatch) -> dict:
-        n = np.bincount((np.concatenate(values(part)) >> U64(44)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(n)
-        return {"c": at, "n": n[at]}
+    def hits(batches):
+        total, some = np.zeros(COUNTERS, np.int64), False
+        for batch in batches:
+            for part in blocks(batch, 1 << 20):
+                some = True
+                total += np.bincount((np.concatenate(values(part)) >> U64(46)).astype(np.int64), minlength=COUNTERS)
+        if some:
+            yield _counters(total)
+        release()
 
-    counts = map_texts(src.select("text"), ["text"], hits, "c long, n long", 4 << 20).groupBy("c").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
-    often = np.zeros(COUNTERS, np.int32)
-    often[counts["c"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), 2**31 - 1)
-    often = src.sparkSession.sparkContext.broadcast(often)  # four bytes a counter
+    spark = src.sparkSession
+    counts = src.select("text").mapInArrow(hits, "n binary")
+    for parts in (int(spark.conf.get("spark.sql.shuffle.partitions")), 8):  # a row a task, then fewer, of COUNTERS numbers each
+        counts = counts.repartition(parts).mapInArrow(_added, "n binary")
+    often = sum((np.frombuffer(r["n"], np.int64) for r in counts.toLocalIterator()), np.zeros(COUNTERS, np.int64))
+    often = spark.sparkContext.broadcast(np.minimum(often, 2**31 - 1).astype(np.int32))  # four bytes a counter
 
     def first_values(part: pa.RecordBatch) -> dict:
         c = often.value
         rows, keys = [], []
         for i, g in enumerate(values(part)):
-            f = c[(g >> U64(44)).astype(np.int64)]
+            f = c[(g >> U64(46)).astype(np.int64)]
             at = np.lexsort((g, f))[: len(g) - needed(len(g), len(g)) + 1]
             at = at[f[at] > 1]
             rows.append(np.full(len(at), i))
