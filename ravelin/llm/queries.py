@@ -97,13 +97,18 @@ select doc_id, {keys}, n_tokens, whole + (part = n_tokens)::bigint as copies, (w
 SQL = {
     "op3_mix": _mix_sql(),
     "op8_warc": """
-with p as (select page_id, coalesce(html, '') as html from pages),
-d as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
+with p as (select page_id, url, coalesce(html, '') as html from pages),
+d as (select page_id, url, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
 f as (select payload_digest, min(page_id) as first_id from d where payload_bytes >= 100 group by payload_digest)
 select page_id, payload_bytes, payload_digest,
   case when first_id is not null and page_id <> first_id then 'revisit' else 'response' end as record_type,
   case when first_id is not null and page_id <> first_id then first_id end as refers_to
-from d left join f using (payload_digest)""",
+  , record_bytes
+from (select d.*, first_id, payload_bytes + 4 + strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: ' || case when first_id is not null and page_id <> first_id then 'revisit' else 'response' end)
+  + strlen('WARC-Record-ID: <urn:page:>') + strlen(page_id::varchar) + case when first_id is not null and page_id <> first_id then strlen('WARC-Refers-To: <urn:page:>') + strlen(first_id::varchar) + 2 + strlen('WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest') + 2 else 0 end
+  + strlen('WARC-Date: 2024-01-01T00:00:00Z') + coalesce(strlen('WARC-Target-URI: ' || url) + 2, 0) + strlen('WARC-Payload-Digest: sha256:') + 64 + strlen('Content-Type: text/html; charset=utf-8')
+  + strlen('Content-Length: ') + case when first_id is not null and page_id <> first_id then 1 else strlen(payload_bytes::varchar) end + 14 as record_bytes
+  from d left join f using (payload_digest))""",
     "op10_substring": """
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
 p as (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13),

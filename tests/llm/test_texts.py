@@ -11,6 +11,7 @@ import duckdb
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from ravelin.llm import bpe, fingerprint, langid, media, mixing, quality, queries, substring, toxicity, warc
 
@@ -91,6 +92,34 @@ def test_archive(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_archived_records_come_back(spark, tmp_path):
+    """Bytes of each record, by the layout in plain Python; a changed payload or header fails the read."""
+    rows = [(1, "u", "x" * 120), (2, "a\r\nb", "x" * 120), (3, None, None), (None, "é", "kurz"), (1, "u", "x" * 120)]
+    pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, record string")
+    path = str(tmp_path / "a")
+    warc.write(pages, path)
+    want, filed = Counter(), Counter()
+    for i, u, t in rows:
+        body, again = (t or "").encode(), i == 2
+        head = ["WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: <urn:page:{'null' if i is None else i}>"]
+        head += ["WARC-Refers-To: <urn:page:1>"] * again + ["WARC-Date: 2024-01-01T00:00:00Z"]
+        head += [] if u is None else ["WARC-Target-URI: " + u.replace("\r", "%0D").replace("\n", "%0A")]
+        head += [f"WARC-Profile: {warc.PROFILE}"] * again
+        head += [f"WARC-Payload-Digest: sha256:{sha(body)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if again else len(body)}", "", ""]
+        want[i, u, "\r\n".join(head).encode() + body + b"\r\n\r\n"] += 1
+        filed[i, u, "\r\n".join(head).encode() + (b"" if again else body) + b"\r\n\r\n"] += 1
+    got = lambda whole: Counter((r["page_id"], r["url"], bytes(r["record"])) for r in warc.records(spark, path, whole).collect())
+    assert got(True) == want and got(False) == filed
+    assert spark.read.parquet(f"{path}/payloads").count() == 3
+    for table, change in (("payloads", F.when(F.octet_length("payload") > 99, F.lit(b"y" * 120)).otherwise(F.col("payload")).alias("payload")), ("headers", F.concat("header", F.lit(" ")).alias("header"))):
+        other = str(tmp_path / f"b-{table}")
+        for t in ("payloads", "headers"):
+            df = spark.read.parquet(f"{path}/{t}")
+            (df.withColumn(table[:-1], change) if t == table else df).write.parquet(f"{other}/{t}")
+        with pytest.raises(Exception, match="stored payload|other bytes"):
+            warc.records(spark, other).collect()
+
+
 def test_toxicity_on_held_out_documents(spark, sf):
     base = sf.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
