@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import map_texts, release, ship
+from ravelin.llm.shared import map_texts, materialize, release, ship
 from ravelin.llm.text import U64, blocks, column, prefix_sums, raw, span_hashes
 
 WINDOW = 64
@@ -32,6 +32,8 @@ LEVELS = 512
 CUTS = 256
 #: A list of at most so many runs, three numbers each, is broadcast.
 MANY = 100_000
+#: Runs whose heads one task puts in order.
+STEP = 10_000
 
 _c = np.arange(1, WINDOW + 1)
 _f = np.concatenate([[0], np.round(_c * np.log2(_c) * 65536).astype(np.int64)])
@@ -161,12 +163,17 @@ def chain(docs: DataFrame, size: int = 4000) -> DataFrame:
         low, high = F.element_at(edge, i + 1).cast("double"), F.element_at(edge, i + 2).cast("double")
         part = F.least(F.greatest(F.floor((key.cast("double") - low) * fine / F.greatest(high - low, F.lit(1.0))), F.lit(0)), F.lit(fine - 1))
         where = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(i.cast("long") * fine + part)
+    # A head is a run's first row; what stands after a run is the head of the next run that has rows. Runs are numbered from 0 (null
+    # ids: -1), so heads of STEP numbers are put in order together, and the group's own first head goes on to the next groups.
     src = src.withColumn("run", where)
-    heads = src.groupBy("run").agg(F.max(key).alias("k"))  # a row for each run
-    order = Window.orderBy("run")
-    ends = F.max(F.struct("run", "k")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("run", F.coalesce(F.lag(F.struct("run", "k")).over(order), ends).alias("after"))
-    heads = heads.select(F.col("run").alias("to"), F.col("after.run").alias("run"), F.col("after.k").alias("k"))
+    heads = materialize(src.groupBy("run").agg(F.max(key).alias("k")).withColumn("g", F.expr(f"(run + 1) div {STEP}")), "heads")  # a row for each run
+    tops = heads.groupBy("g").agg(F.max(F.struct("run", "k")).alias("top"))  # a row for each STEP runs
+    every = tops.agg(F.max("top").alias("last"), F.array_sort(F.collect_list(F.struct("g", "top"))).alias("tops"))
+    below = F.lag(F.struct("run", "k")).over(Window.partitionBy("g").orderBy("run"))
+    heads = heads.withColumn("after", below).crossJoin(F.broadcast(every))  # one row, of one number for each STEP runs
+    earlier = F.filter("tops", lambda t: t["g"] < F.col("g"))
+    heads = heads.select(F.col("run").alias("to"), F.coalesce("after", F.when(F.size(earlier) > 0, F.element_at(earlier, -1)["top"]), "last").alias("after"))
+    heads = heads.select("to", F.col("after.run").alias("run"), F.col("after.k").alias("k"))
     heads = F.broadcast(heads) if runs <= MANY else heads
     extra = src.withColumn("k", key).join(heads, ["run", "k"]).groupBy("to").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("run"), F.lit(1).alias("tail"))
 
@@ -183,8 +190,8 @@ def chain(docs: DataFrame, size: int = 4000) -> DataFrame:
             for at in range(0, len(out[0]), 500):
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out[0][at : at + 500], pa.int64()), "text": out[1][at : at + 500], "next": out[2][at : at + 500]})
 
-    every = src.withColumn("tail", F.lit(0)).unionByName(extra)
-    dealt = every.repartition(min(runs, 4096), "run").sortWithinPartitions("run", "tail", F.desc_nulls_last("doc_id"), "text")
+    rows = src.withColumn("tail", F.lit(0)).unionByName(extra)
+    dealt = rows.repartition(min(runs, 100_000), "run").sortWithinPartitions("run", "tail", F.desc_nulls_last("doc_id"), "text")
     ship(docs.sparkSession)
     return dealt.select("doc_id", "text", "run", "tail").mapInArrow(run, "doc_id long, text string, next string")
 

@@ -7,7 +7,9 @@ what the whole family can't take was never given to the parent, so its siblings
 Each leaf then draws whole epochs and, from a seeded order, the token-prefix that is left.
 
 Only DataFrame functions run. Rows are never gathered by leaf: tokens are summed by (leaf, first digits of
-the seeded hash), which says in which of those ranges the prefix ends, and only rows of that range are put in order.
+the seeded hash), which says in which of those ranges the prefix ends, and only rows of that range are put in order. What is
+known of a leaf goes to its rows by a broadcast, so that a leaf with a third of all rows stays where it is; only of more than
+LEAVES leaves are rows and leaves dealt out by key.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from ravelin.llm.shared import materialize
 WORDS = "[^ \\t\\n\\x0B\\f\\r]+"
 LEVELS = ("domain", "lang", "source")
 NONE = "(none)"
+#: Leaves that are broadcast at most, a few numbers and names each.
+LEAVES = 50_000
 
 
 def domain_of(source: str = "source") -> Column:
@@ -75,9 +79,12 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, float]] | None = Non
 
     weights: for each level, the weights of its values; 1 for those not named, 0 draws nothing.
     Null keys count as the value `(none)`; a null text has no tokens and is never drawn; repeated rows
-    count as rows of their own; an empty table gives an empty result. key: a column that tells rows apart, returned as well.
+    count as rows of their own; an empty table gives an empty result. Ties of the seeded hash go by doc_id and tokens. key: a column that
+    tells rows apart, returned as well. `domain` comes from the source (or is the column given), whatever column of that name docs has.
     """
     levels, keys = list(levels), [key] if key else []
+    if len({*levels, *keys, "doc_id", "n_tokens", "copies", "tokens"}) < len(levels) + len(keys) + 4:
+        raise ValueError("levels and key are other columns than doc_id, n_tokens, copies and tokens")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     meta = docs.withColumn("domain", domain if domain is not None else domain_of()).select(
         *keys,
@@ -86,15 +93,16 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, float]] | None = Non
         F.regexp_count(text, F.lit(WORDS)).cast("long").alias("n_tokens"),
     )
     meta = materialize(meta.filter("n_tokens > 0"), "mix")
-    leaves = meta.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = materialize(meta.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    near = F.broadcast if leaves.limit(LEAVES + 1).count() <= LEAVES else lambda x: x
     plan = budgets(leaves, levels, weights or {}, fraction, epochs)
     plan = plan.withColumn("full", F.expr("target div tokens")).withColumn("rest", F.expr("target % tokens")).select(*levels, "full", "rest")
-    rows = meta.join(plan, levels)
+    rows = meta.join(near(materialize(plan, "plan")), levels)
     rows = rows.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))).cast("binary"))).withColumn("b", F.substring("h", 1, 4))
     sums = rows.groupBy(*levels, "b").agg(F.sum("n_tokens").alias("s"), F.first("rest").alias("rest"))
     run = Window.partitionBy(*levels).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = sums.withColumn("to", F.sum("s").over(run)).withColumn("from", F.col("to") - F.col("s")).filter((F.col("from") < F.col("rest")) & (F.col("rest") <= F.col("to"))).select(*levels, F.col("b").alias("edge"), "from")
-    rows = rows.join(ends, levels, "left")
+    rows = rows.join(near(materialize(ends, "ends")), levels, "left")
     inner = rows.filter(F.coalesce(F.col("b") != F.col("edge"), F.lit(True))).withColumn("part", F.when(F.col("b") < F.col("edge"), F.col("n_tokens")).otherwise(F.lit(0).cast("long")))
     order = Window.partitionBy(*levels).orderBy("h", "doc_id", "n_tokens", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.filter(F.col("b") == F.col("edge"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm import bpe, fingerprint, langid, media, mixing, neardup, quality, substring, toxicity, warc
-from ravelin.llm.shared import remainder
+from ravelin.llm.shared import materialize, remainder
 
 MIX = {"fraction": 0.5, "epochs": 2, "seed": 7, "weights": {"lang": {"en": 2.0}, "source": {"src0": 4.0, "src1": 0.5}}}
 
@@ -34,7 +34,8 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(media.store(_read(spark, sf_dir, "documents"))).drop("tile")
+    """Pictures go to a table in the shared folder; what is described are the bytes read from there."""
+    return media.describe(materialize(media.store(_read(spark, sf_dir, "documents")), "media"))
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

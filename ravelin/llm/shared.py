@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     as in tests on one machine, a temporary folder becomes the checkpoint folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         at = tempfile.mkdtemp(prefix="ravelin-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
