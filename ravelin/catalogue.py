@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.catalogue_sql import SQL
 from ravelin.functions import text as tx
 from ravelin.functions.hashing import fnv1a, level
-from ravelin.operators import changelog, evaluate, fusion, lexical, planner, policy, registry, vector
+from ravelin.operators import changelog, evaluate, fusion, lexical, planner, policy, registry, requests, vector
 from ravelin.plans import search as plans
 from ravelin.sources import corpus as src
 from ravelin.sources.shared import fresh_folder
@@ -352,12 +352,15 @@ def registry_revision(spark, sf):
     return registry.revision(e, TTL, _now(e))
 
 
+def _campaigns(spark, sf):
+    e = src.table(spark, sf, "events").filter("event_type = 'signup'")
+    return e.select((F.col("user_id") % 4).alias("group_id"), F.col("event_id").alias("n"), F.concat(F.lit("n"), (F.col("user_id") % 3).cast("string")).alias("node_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+
+
 @query
 def election_terms(spark, sf):
     """C-15, W-06: sign-ups as campaigns, a quarter of the users a group."""
-    e = src.table(spark, sf, "events").filter("event_type = 'signup'")
-    c = e.select((F.col("user_id") % 4).alias("group_id"), F.col("event_id").alias("n"), F.concat(F.lit("n"), (F.col("user_id") % 3).cast("string")).alias("node_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    return registry.elections(c, 7200)
+    return registry.elections(_campaigns(spark, sf), 7200)
 
 
 @query
@@ -372,8 +375,8 @@ def quorum_write(spark, sf):
 def replica_catch_up(spark, sf):
     """C-14, J-13: a replica for each nation."""
     source = src.table(spark, sf, "events").select((F.col("event_id") + 1).alias("offset"))
-    targets = src.table(spark, sf, "nation").select(F.col("n_name").alias("replica_id"), (F.col("n_nationkey") * 40).cast("long").alias("committed"), (F.col("n_nationkey") * 40 + F.col("n_nationkey") % 3).cast("long").alias("applied"))
-    return registry.catch_up(source, targets, spark.createDataFrame([(800, 200)], "committed long, floor long"))
+    targets = src.table(spark, sf, "nation").crossJoin(source.agg(F.expr("max(offset) div 25").alias("step"))).select(F.col("n_name").alias("replica_id"), (F.col("n_nationkey") * F.col("step")).cast("long").alias("committed"), (F.col("n_nationkey") * F.col("step") + F.col("n_nationkey") % 3).cast("long").alias("applied"))
+    return registry.catch_up(source, targets, source.agg(F.expr("max(offset) * 4 div 5").alias("committed"), F.expr("max(offset) div 5").alias("floor")))
 
 
 @query
@@ -387,13 +390,14 @@ def search_metrics(spark, sf):
 def load_report(spark, sf):
     """A-16, F-27, F-28, C-18: latencies by type; both definitions of a percentile."""
     e = src.table(spark, sf, "events").filter("value is not null")
-    other = F.expr("element_at(array_sort(collect_list(value)), cast(0.95 * (count(*) - 1) + 0.5 as int) + 1)")
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("requests"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), other.alias("load_p95"), _share())
-
-
-def _share():
-    return F.round(F.avg((F.col("value") > 100).cast("double")), 6).alias("slow_share")
+    # Values counted in each task first; ranks run over distinct values only.
+    n = e.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    n = n.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy("event_type")))
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("value")))
+    p = lambda q: at(F.greatest(F.ceil(F.col("n") * q), F.lit(1)))
+    out = n.groupBy("event_type").agg(F.sum("c").alias("requests"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), at(F.floor(0.95 * (F.col("n") - 1) + 0.5) + 1).alias("load_p95"), F.round(F.sum(F.when(F.col("value") > 100, F.col("c")).otherwise(0)) / F.sum("c"), 6).alias("slow_share"))
+    return out
 
 
 @query
@@ -408,6 +412,177 @@ def index_benchmark(spark, sf):
     return lexical.search(src.synthetic(spark, 1_000_000, 20260915), src.synthetic_queries(spark, 500, 1_000_000, 20260915), "all", 20).select("query_id", "doc_id", _r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _requests(spark, sf):
+    """Every turn as a request: modes, limits and timeouts of all kinds, wrong ones too."""
+    cases = _cases(spark, sf)
+    k = F.pmod(F.crc32(F.encode("query_id", "UTF-8")), F.lit(7)).cast("int")
+    mode = F.element_at(F.array(*map(F.lit, ("", " AUTO", "lexical", "Vector ", "hybrid", "fuzzy", "auto"))), k + 1)
+    return cases.select("query_id", "text", mode.alias("mode"), (F.length("text") % 107).cast("int").alias("limit"), F.when(k == 6, -5).otherwise((F.col("deadline_ns") / 1_000_000).cast("int")).alias("timeout_ms"), "total", "available", "vector_ready")
+
+
+@query
+def request_modes(spark, sf):
+    """P-10, F-29, C-09: requests checked, with the mode asked for or the planner's, and the mode a node runs."""
+    out = requests.with_mode(requests.validated(_requests(spark, sf)), planner.priors(spark))
+    return out.select("query_id", "limit", "timeout_ms", "error", "chosen", requests.node_mode(F.col("mode")).alias("node_mode"))
+
+
+@query
+def executor_requests(spark, sf):
+    """P-15: what the executor refuses."""
+    r = _requests(spark, sf).select(F.when(F.length("text") % 13 == 0, " ").otherwise(F.col("query_id")).alias("request_id"), "text", (F.col("limit") - 3).alias("limit"), "timeout_ms", F.array(F.lit(" b"), F.col("mode"), F.lit("a"), F.lit("b ")).alias("collections"), "query_id")
+    return requests.executor_errors(r).select("query_id", "request_id", "limit", F.concat_ws(",", "collections").alias("collections"), "error")
+
+
+@query
+def planner_refusals(spark, sf):
+    """F-19: requests that the planner refuses, by kind."""
+    c = _cases(spark, sf).withColumn("available", (F.length("text") % 5).cast("int")).withColumn("deadline_ns", F.col("deadline_ns") - 50_000_000)
+    return requests.planner_errors(c).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _node_table(spark, sf):
+    """Nodes with labels and collections; some say that they have no vectors."""
+    own = src.owners(src.corpus(spark, sf)).groupBy("node_id").agg(F.collect_set("collection_id").alias("collections"))
+    label = F.when(F.col("node_id") == "node-1", F.create_map(F.lit("vector"), F.lit("disabled"))).when(F.col("node_id") == "node-2", F.create_map(F.lit("zone"), F.lit("z")))
+    spare = own.select(F.concat(F.lit("spare-"), "node_id").alias("node_id"), F.slice(F.array_sort("collections"), 1, 2).alias("collections"))
+    return own.withColumn("labels", label).unionByName(spare.withColumn("labels", F.lit(None).cast("map<string,string>")))
+
+
+@query
+def node_readiness(spark, sf):
+    """P-11: which nodes answer vector queries."""
+    return _node_table(spark, sf).select("node_id", requests.vector_ready(F.col("labels")).alias("ready"))
+
+
+@query
+def collection_owners(spark, sf):
+    """S-13, A-19: the first owner of each collection, and how many collections there are."""
+    first = requests.first_owner(_node_table(spark, sf))
+    return first.crossJoin(first.agg(F.count(F.lit(1)).alias("collections")))  # one row
+
+
+WANTED = [("q1", []), ("q2", ["src1", " src2 ", "src1", ""]), ("q3", ["src0", "src4", "src9"]), ("q4", ["nowhere"]), ("q5", ["src3"])]
+
+
+def _wanted(spark):
+    return spark.createDataFrame(WANTED, "query_id string, collections array<string>")
+
+
+@query
+def catalog_nodes(spark, sf):
+    """P-04, J-08: the nodes that a request goes to."""
+    return requests.candidates(_node_table(spark, sf), _wanted(spark))
+
+
+@query
+def requested_search(spark, sf):
+    """P-03, C-07: the merged ranking of the collections that a request names."""
+    docs = src.corpus(spark, sf)
+    hits = requests.requested_only(_lex(spark, sf, "any", 10), _wanted(spark))
+    return plans.merge(plans.node_hits(hits, src.owners(docs), 10), 10).select("query_id", "collection_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def last_update(spark, sf):
+    """X-03: the last of the cumulative rankings of each query, all a caller keeps that waits to the end."""
+    docs, answers = _answers(spark, sf)
+    steps = plans.cumulative(answers, _responses(spark, docs), 10, 100.0)
+    last = steps.groupBy("query_id").agg(F.max_by(F.struct("step"), "step").alias("x")).select("query_id", F.col("x.step").alias("step"))
+    return steps.join(last, ["query_id", "step"]).select("query_id", F.col("step").cast("long").alias("step"), "collection_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def planner_selections(spark, sf):
+    """A-11, C-11: how often each strategy is chosen."""
+    return planner.selections(_cases(spark, sf), planner.priors(spark))
+
+
+def _policy_changes(spark, sf):
+    """A policy set at each event, for four collections and some of their documents; every fifth kind is not valid."""
+    e = src.table(spark, sf, "events")
+    k = (F.col("event_id") % 6).cast("int")
+    rule = lambda effect, action: F.struct(effect.alias("effect"), action.alias("actions"))
+    acts = F.when(k == 1, F.array().cast("array<string>")).when(k == 2, F.array(F.lit("write"))).otherwise(F.array(F.lit("search"), F.lit("read")))
+    rules = F.when(k == 3, F.array().cast("array<struct<effect: string, actions: array<string>>>")).otherwise(F.array(rule(F.when(k == 4, F.lit("maybe")).otherwise(F.lit("allow")), acts)))
+    return e.select(F.concat(F.lit(" c"), (F.col("user_id") % 4).cast("string")).alias("collection_id"), F.when(F.col("user_id") % 3 == 0, F.lit(None)).otherwise(F.col("user_id").cast("string")).alias("doc_id"), F.when(F.col("event_id") % 35 == 5, " ").otherwise(F.concat(F.lit("v"), F.col("event_id").cast("string"))).alias("version"), rules.alias("rules"), F.col("event_id").alias("n"))
+
+
+@query
+def policy_store(spark, sf):
+    """O-23: the valid policy last set for each resource."""
+    return policy.policy_store(_policy_changes(spark, sf)).select("collection_id", "doc_id", "version", F.size("rules").cast("long").alias("n_rules"))
+
+
+@query
+def policy_refusals(spark, sf):
+    """P-12: policies refused, by reason."""
+    return policy.policy_errors(_policy_changes(spark, sf)).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+ISSUER, AUDIENCE, SKEW = "https://issuer.example", "search", 30
+
+
+@query
+def token_claims(spark, sf):
+    """F-30, P-05: a token a user and event, with its claims checked at one moment, and whether it may write. Signatures are not checked."""
+    e = src.table(spark, sf, "events")
+    now = 1_700_000_000
+    k = (F.col("event_id") % 8).cast("int")
+    at = lambda x: F.lit(now) + x
+    aud = F.when(k == 1, F.lit('["other","search"]')).when(k == 2, F.lit('"other"')).otherwise(F.lit('"search"'))
+    text = F.concat(F.lit('{"sub":"'), F.when(k == 3, F.lit(" ")).otherwise(F.concat(F.lit(" u"), F.col("user_id").cast("string"))), F.lit('","iss":"https://issuer.example","aud":'), aud, F.lit(',"exp":'), at(F.col("event_id") % 100 - 60).cast("string"), F.lit(',"nbf":'), at(F.when(k == 4, F.lit(31)).otherwise(F.lit(30))).cast("string"), F.lit(',"iat":'), at(F.when(k == 5, F.lit(40)).otherwise(F.lit(-9))).cast("string"), F.lit(',"groups":["b"," a","b"],"scope":"documents.read'), F.when(F.col("user_id") % 2 == 0, F.lit(" documents.write")).otherwise(F.lit("")), F.lit('"}'))
+    part = F.regexp_replace(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), "[=\r\n]", "")
+    token = F.when(k == 6, F.concat(F.lit("h."), part)).when(k == 7, F.lit("h.e30.s")).otherwise(F.concat(F.lit("h."), part, F.lit(".s")))
+    got = requests.principals(e.select("event_id", token.alias("token")), ISSUER, AUDIENCE, now, SKEW)
+    return got.select("event_id", "error", "subject", F.concat_ws(",", "groups").alias("groups"), policy.may_write(F.col("scopes")).alias("may_write"))
+
+
+@query
+def metric_rates(spark, sf):
+    """A-18: in windows of five minutes, rates a second by type, and increases over fifteen minutes that slide by five."""
+    e = src.table(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    w = lambda size: e.groupBy(F.window("t", size, "5 minutes").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.unix_seconds("w.end").alias("until"), "event_type", "n")
+    return w("15 minutes").withColumnRenamed("n", "increase").join(w("5 minutes"), ["until", "event_type"], "left").select("until", "event_type", "increase", F.round(F.coalesce("n", F.lit(0)) / 300.0, 6).alias("rate"))
+
+
+@query
+def graph_recall_floor(spark, sf):
+    """S-03 to S-08 with an oracle: every hundredth vector was asked for, and the mean recall of the graph is 0.9 at least."""
+    return graph_vector_search(spark, sf).agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("floor_met"))
+
+
+@query
+def election_holders(spark, sf):
+    """C-15: each group's holder and term in the middle of the time, and whether its lease runs then."""
+    c = _campaigns(spark, sf)
+    now = int(c.agg(F.expr("(min(at) + max(at)) div 2")).first()[0] or 0)
+    return registry.held(registry.elections(c, 7200), c, 7200, now)
+
+
+@query
+def binary_log(spark, sf):
+    """O-06, O-20, C-05: the log written as binary files of fifty thousand changes each, read back with all checks."""
+    log = src.change_log(spark, sf)
+    return changelog.decode_log(changelog.encode_log(log, 50_000)).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("collection_id"), "seq", "op", "doc_id", F.when(F.col("op") == "upsert", F.col("body")).alias("body"))
+
+
+@query
+def append_log(spark, sf):
+    """O-07: the later half of each log, appended to the earlier one, has the numbers it had."""
+    log = src.change_log(spark, sf)
+    half = log.groupBy("collection_id").agg(F.expr("max(seq) div 2").alias("half"))
+    cut = log.join(F.broadcast(half), "collection_id")  # four rows
+    old, new = cut.filter("seq <= half").drop("half"), cut.filter("seq > half").withColumnRenamed("seq", "n").drop("half")
+    return old.unionByName(changelog.append(old, new)).select("collection_id", "seq", "op", "doc_id", "body")
+
+
+@query
+def seed_documents(spark, sf):
+    """O-17: the three documents that a demo node of each collection starts with."""
+    return src.seeds(src.corpus(spark, sf).select("collection_id").distinct())
+
+
 def _drained(spark, sf, flow):
     """The result of a stream over all events, once all are read."""
     schema = src.table(spark, sf, "events").schema

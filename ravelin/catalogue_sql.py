@@ -156,9 +156,9 @@ f as (select group_id, i, n, node_id, true as won, node_id as holder, 1::bigint
 select group_id, n, node_id, won, case when won then term else 0 end as term from f""",
     "quorum_write": """with a as (select event_id as "offset", r, r = 0 or (event_id * 7 + r * 13) % 5 < event_id % 4 as ack, event_id % 11 <> 0 as leader from events cross join range(5) t(r))
 select "offset", count(*) filter (ack) as acknowledged, 3::bigint as needed, count(*) filter (ack) >= 3 and bool_and(leader) as committed from a group by 1""",
-    "replica_catch_up": """with t as (select n_name as replica_id, n_nationkey * 40 as c, n_nationkey * 40 + n_nationkey % 3 as a from nation),
-x as (select *, case when c > 800 then 'ahead' when c = 800 then 'none' when c < 200 then 'snapshot' else 'entries' end as action from t)
-select replica_id, action, (case when action in ('entries', 'snapshot') then a - c else 0 end)::bigint as dropped, case when action = 'entries' then (select count(*) from events where event_id + 1 > c and event_id + 1 <= 800) else 0 end as sent from x""",
+    "replica_catch_up": """with m as (select max(event_id) + 1 as top from events), t as (select n_name as replica_id, n_nationkey * (top // 25) as c, n_nationkey * (top // 25) + n_nationkey % 3 as a, top * 4 // 5 as goal, top // 5 as low from nation cross join m),
+x as (select *, case when c > goal then 'ahead' when c = goal then 'none' when c < low then 'snapshot' else 'entries' end as action from t)
+select replica_id, action, (case when action in ('entries', 'snapshot') then a - c else 0 end)::bigint as dropped, case when action = 'entries' then (select count(*) from events where event_id + 1 > c and event_id + 1 <= goal) else 0 end as sent from x""",
     "search_metrics": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n, round(sum(value), 4) as total, quantile_disc(value, 0.95) as p95 from events group by 1, 2",
     "load_report": """select event_type, count(*) as requests, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99,
  list_sort(list(value))[floor(0.95 * (count(*) - 1) + 0.5)::int + 1] as load_p95, round(avg((value > 100)::int), 6) as slow_share from events where value is not null group by 1""",
@@ -168,3 +168,53 @@ select replica_id, action, (case when action in ('entries', 'snapshot') then a -
 s as (select *, sum(fresh::int) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from e)
 select user_id as node_id, epoch_us(min(ts)) as since_us, epoch_us(max(ts) + interval 12 hour) as expires_us, count(*) as beats from s group by user_id, k""",
 }
+
+_REQ = r"""req as (select query_id, trim(text) as text, ready, case when lower(trim(m)) = '' then 'auto' else lower(trim(m)) end as mode, case when lim = 0 then 10 else lim end as lim, tm from (
+  select query_id, text, ready, ['', ' AUTO', 'lexical', 'Vector ', 'hybrid', 'fuzzy', 'auto'][k + 1] as m, (length(text) % 107)::int as lim, case when k = 6 then -5 else deadline // 1000000 end::int as tm
+  from (select *, (crc % 7)::int as k from cases join crcs using (query_id)))),
+bad as (select *, case when text = '' then 'query is required' when lim not between 1 and 100 then 'limit must be between 1 and 100' when tm not between 1 and 10000 then 'timeout must be between 1 and 10000 milliseconds'
+  when mode not in ('auto', 'lexical', 'vector', 'hybrid') then 'mode must be auto, lexical, vector, or hybrid' end as error from req)"""
+#: CRC-32 by its definition, a bit at a time: DuckDB has no function for it.
+_CRC = """crcs as (select query_id, xor(list_reduce(list_transform(range(0, strlen(query_id)), lambda i: ('0x' || substr(hex(encode(query_id)), (2 * i + 1)::int, 2))::bigint), lambda c, b:
+  list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end), 4294967295::bigint), 4294967295) as crc from cases)"""
+_NODES_ALL = """own as (select 'node-' || (substr(source, 4)::int % 4)::varchar as node_id, list_sort(list(distinct source)) as cs from documents group by 1),
+every as (select node_id, cs from own union all select 'spare-' || node_id, cs[1:2] from own)"""
+_WANTED = "want(query_id, cs) as (values ('q1', []::varchar[]), ('q2', ['src1', 'src2']), ('q3', ['src0', 'src4', 'src9']), ('q4', ['nowhere']), ('q5', ['src3']))"
+_SET = """chg as (select 'c' || (user_id % 4) as collection_id, case when user_id % 3 = 0 then null else user_id::varchar end as doc_id, 'v' || event_id as version, event_id as n,
+  case when event_id % 35 = 5 then 'policy version is required' when event_id % 6 = 3 then 'policy must contain at least one rule' when event_id % 6 = 4 then 'policy rule has an invalid effect'
+   when event_id % 6 = 1 then 'policy rule must contain an action' when event_id % 6 = 2 then 'policy rule has an invalid action' end as error from events)"""
+_TERMS = SQL["election_terms"].rsplit("select group_id, n, node_id, won,", 1)[0]
+_UPDATES = SQL["cumulative_updates"]
+
+SQL |= {
+    "request_modes": f"""with {_CASES}, {_CRC}, {_REQ} select query_id, lim as "limit", tm as timeout_ms, error, case when error is null then case when mode = 'auto' then strategy else mode end end as chosen,
+ case when mode in ('lexical', 'vector', 'hybrid') then mode when mode = 'auto' then 'hybrid' end as node_mode from bad left join (select query_id, strategy from pick where r = 1) using (query_id)""",
+    "executor_requests": f"""with {_CASES}, {_CRC}, x as (select query_id, trim(text) as text, case when length(text) % 13 = 0 then '' else query_id end as request_id, (length(text) % 107)::int - 3 as lim, (crc % 7)::int as k from cases join crcs using (query_id))
+select query_id, request_id, lim as "limit", array_to_string(list_sort(list_distinct(list_filter(['b', trim(['', ' AUTO', 'lexical', 'Vector ', 'hybrid', 'fuzzy', 'auto'][k + 1]), 'a'], lambda c: c <> ''))), ',') as collections,
+ case when request_id = '' then 'request ID is required' when text = '' then 'query text is required' when lim <= 0 then 'result limit must be positive' when k = 6 then 'query timeout cannot be negative' end as error from x""",
+    "planner_refusals": f"""with {_CASES}, x as (select case when trim(text) = '' then 'query is required' when deadline - 50000000 <= 0 then 'query deadline must be positive' when length(text) % 5 > 3 or ready > length(text) % 5 then 'invalid node health' else 'none' end as error from cases) select error, count(*) as n from x group by 1""",
+    "node_readiness": f"with {_NODES_ALL} select node_id, node_id <> 'node-1' as ready from every",
+    "collection_owners": f"with {_NODES_ALL}, f as (select c as collection_id, min(node_id) as node_id from (select node_id, unnest(cs) as c from every) group by 1) select *, (select count(*) from f) as collections from f",
+    "catalog_nodes": f"with {_NODES_ALL}, {_WANTED} select query_id, node_id from want cross join every where len(want.cs) = 0 or list_has_any(every.cs, want.cs)",
+    "requested_search": f"""with {_lex()}, {_NODES}, {_WANTED}, a as (select query_id, node_id, collection_id, doc_id, rank from lex join nodes using (collection_id) join want using (query_id) where rank <= 10 and (len(cs) = 0 or list_contains(cs, collection_id))),
+f as (select query_id, collection_id, doc_id, sum(1 / (60 + rank)::double) as score from a group by all), r as (select *, {_RRF.format(by='query_id', ties='collection_id, doc_id')} from f)
+select query_id, collection_id, doc_id, round(score, 9) as score, rank from r where rank <= 10""",
+    "last_update": f"select query_id, step, collection_id, doc_id, rank from ({_UPDATES}) u where step = (select max(step) from ({_UPDATES}) v where v.query_id = u.query_id)",
+    "planner_selections": f"with {_CASES} select strategy, count(r) as selected from base left join (select strategy, r from pick where r = 1) using (strategy) group by 1",
+    "policy_store": f"with {_SET}, x as (select *, row_number() over (partition by collection_id, doc_id order by n desc) as r from chg where error is null) select collection_id, doc_id, version, 1::bigint as n_rules from x where r = 1",
+    "policy_refusals": f"with {_SET} select coalesce(error, 'none') as error, count(*) as n from chg group by 1",
+    "token_claims": """with x as (select event_id, user_id, event_id % 8 as k, event_id % 100 - 60 as e from events),
+y as (select *, case when k in (2, 3, 6, 7) then 'invalid token' when e <= -30 then 'token expired' when k in (4, 5) then 'invalid token' end as error from x)
+select event_id, error, case when error is null then 'u' || user_id end as subject, case when error is null then 'a,b' else '' end as "groups", error is null and user_id % 2 = 0 as may_write from y""",
+    "metric_rates": """with e as (select event_type, floor(epoch(ts) / 300)::bigint * 300 + 300 as til from events), w as (select til as "until", event_type, count(*) as n from e group by 1, 2),
+i as (select til + 300 * k as "until", event_type, count(*) as increase from e cross join range(3) t(k) group by 1, 2)
+select "until", event_type, increase, round(coalesce(n, 0) / 300.0::double, 6) as rate from i left join w using ("until", event_type)""",
+    "graph_recall_floor": "select count(*) as queries, true as floor_met from embeddings where vec_id % 100 = 0",
+    "election_holders": f"""{_TERMS}, t as (select (min(sec) + max(sec)) // 2 as now from c), l as (select f.*, row_number() over (partition by f.group_id order by f.i desc) as r from f join c using (group_id, i) cross join t where won and c.sec <= now)
+select group_id, node_id as holder, term, ends > now as live from l cross join t where r = 1""",
+    "binary_log": f"with {_LOG} select collection_id, seq, op, doc_id, case when op = 'upsert' then coalesce(body, '') end as body from log",
+    "append_log": f"with {_LOG} select collection_id, seq, op, doc_id, body from log",
+    "seed_documents": """with c as (select distinct source as collection_id from documents) select collection_id, 'distributed-search' as doc_id, 'Distributed search architecture' as title, 'The coordinator fans queries out to owning nodes, merges ranked results, and never stores source document content.' as body from c
+union all select collection_id, 'recovery-runbook', 'Replica recovery runbook', 'A recovering replica replays committed log entries when history is retained and installs a snapshot after compaction.' from c
+union all select collection_id, 'local-ownership', 'Local ownership boundary', 'Documents and indexes remain under the control of the node that owns the ' || collection_id || ' collection.' from c""",
+}

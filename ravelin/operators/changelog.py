@@ -93,6 +93,8 @@ def generations(spark: SparkSession, path: str) -> list[int]:
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     parts = [f"{path}/generation={n:020d}" for n in generations(spark, path)]
+    if not parts:
+        raise ValueError(f"no generation has been published at {path}")
     return spark.read.option("basePath", path).parquet(*parts).withColumn("generation", F.col("generation").cast("long"))
 
 
@@ -233,3 +235,39 @@ def decode_log(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(rows), pa.string())} | cols | {"committed": pa.array([committed] * len(rows), pa.int64())})
 
     return files.select("path", "content").mapInArrow(run, "path string, seq long, op string, doc_id string, title string, body string, committed long")
+
+
+def _varint(data: bytes) -> bytes:
+    n, out = len(data), b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n]) + data
+
+
+def encode_log(log: DataFrame, size: int) -> DataFrame:
+    """Binary logs (path, content) of a gapless log (collection_id, seq, op, doc_id, body): files of `size` changes each, numbered on
+    from the sequence before their first, all committed, with empty titles. Files are made from sorted rows, one at a time."""
+
+    def close(key, rows: list[bytes], last: int) -> dict:
+        base = key[1] * size
+        return {"path": f"{key[0]}/{base:020d}", "content": log_header(base) + b"".join(rows) + frame(COMMIT, last)}
+
+    def run(batches):
+        key, rows, last = None, [], 0
+        for batch in batches:
+            done = []
+            for c, seq, op, doc, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                at = (c, (seq - 1) // size)
+                if at != key and key is not None:
+                    done.append(close(key, rows, last))
+                    rows = []
+                key, last = at, seq
+                fields = [doc] if op == "delete" else [doc, "", body or ""]
+                rows.append(frame(DELETE if op == "delete" else UPSERT, seq, b"".join(_varint(x.encode()) for x in fields)))
+            if done:
+                yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("content", pa.binary())]))
+        if key is not None:
+            yield pa.RecordBatch.from_pylist([close(key, rows, last)], pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    dealt = log.withColumn("file", F.expr(f"(seq - 1) div {size}")).repartition("collection_id", "file").sortWithinPartitions("collection_id", "seq")
+    return dealt.select("collection_id", "seq", "op", "doc_id", "body").mapInArrow(run, "path string, content binary")

@@ -58,3 +58,9 @@ def compare(cases: DataFrame, outcomes: DataFrame, base: DataFrame) -> DataFrame
     adaptive = each.join(chosen, ["query_id", "strategy"]).withColumn("policy", F.lit("adaptive"))
     out = fixed.unionByName(adaptive).groupBy("policy")
     return out.agg(F.count(F.lit(1)).alias("cases"), F.avg("result_quality").alias("mean_quality"), F.expr("sum(latency_ns) div count(*)").alias("mean_latency_ns"), F.avg((F.col("latency_ns") > F.col("deadline_ns")).cast("double")).alias("miss_rate"))
+
+
+def selections(cases: DataFrame, base: DataFrame) -> DataFrame:
+    """(strategy, selected): how often the adaptive choice falls on each strategy, those never chosen as well."""
+    n = select(cases, base).groupBy("strategy").agg(F.count(F.lit(1)).alias("selected"))
+    return base.select("strategy").join(n, "strategy", "left").select("strategy", F.coalesce("selected", F.lit(0)).alias("selected"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.hashing import hmac_sha256
@@ -43,10 +43,45 @@ def decide(asked: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def authorized_prefix(decided: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """The ranked candidates that a walk looks at before it has `limit` allowed ones, with the rank among those allowed."""
-    w = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.sum(F.col("allowed").cast("int")).over(w)
-    return decided.withColumn("given", n).filter((F.col("given") < limit) | (F.col("given") == limit) & F.col("allowed"))
+    """The ranked candidates that a walk looks at before it has `limit` allowed ones, with the rank among those allowed.
+
+    The first `limit` allowed ranks of each list come from a window that tasks cut down before the shuffle; a list of them is a row, and what
+    lies beyond the last of `limit` is left out.
+    """
+    first = decided.filter("allowed").select(*by, "rank").withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("rank"))).filter(F.col("r") <= limit)
+    ends = first.groupBy(*by).agg(F.array_sort(F.collect_list("rank")).alias("ranks"))  # at most `limit` numbers
+    out = decided.join(ends, by, "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
+    out = out.withColumn("given", F.size(F.filter("ranks", lambda x: x <= F.col("rank"))))
+    return out.filter((F.size("ranks") < limit) | (F.col("rank") <= F.element_at("ranks", -1))).drop("ranks")
+
+
+ACTIONS, EFFECTS = ("search", "read"), ("allow", "deny")
+
+
+def policy_errors(policies: DataFrame) -> DataFrame:
+    """policies (collection_id, doc_id, version, rules) with trimmed ids and `error`: a collection, a version and a rule at least; rules
+    of known effects with known actions, one at least. A null doc_id is a collection's policy; a blank one is an error."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    bad = lambda f: F.exists("rules", f)
+    error = (
+        F.when(empty(F.col("collection_id")) | (F.col("doc_id").isNotNull() & empty(F.col("doc_id"))), "id is required")
+        .when(empty(F.col("version")), "policy version is required")
+        .when(F.coalesce(F.size("rules"), F.lit(0)) < 1, "policy must contain at least one rule")
+        .when(bad(lambda r: ~F.coalesce(r["effect"].isin(*EFFECTS), F.lit(False))), "policy rule has an invalid effect")
+        .when(bad(lambda r: F.coalesce(F.size(r["actions"]), F.lit(0)) < 1), "policy rule must contain an action")
+        .when(bad(lambda r: F.exists(r["actions"], lambda a: ~a.isin(*ACTIONS))), "policy rule has an invalid action")
+    )
+    return policies.withColumns({"collection_id": F.trim("collection_id"), "doc_id": F.trim("doc_id")}).withColumn("error", error)
+
+
+def policy_store(changes: DataFrame) -> DataFrame:
+    """(collection_id, doc_id, version, rules): the last valid policy set for each resource; changes have its order n as well."""
+    ok = policy_errors(changes).filter("error is null")
+    return ok.groupBy("collection_id", "doc_id").agg(F.max_by(F.struct("version", "rules"), "n").alias("p")).select("collection_id", "doc_id", "p.version", "p.rules")
+
+
+def may_write(scopes: Column) -> Column:
+    return F.coalesce(F.array_contains(scopes, "documents.write"), F.lit(False))
 
 
 def audit(decided: DataFrame, key: bytes) -> DataFrame:

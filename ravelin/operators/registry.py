@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,20 +42,37 @@ def revision(events: DataFrame, ttl: int, now: int) -> DataFrame:
 
 def elections(campaigns: DataFrame, duration: int, by: str = "group_id") -> DataFrame:
     """campaigns (by, n, node_id, at in seconds) with won and term. The holder keeps its term while its lease runs; others are
-    turned down until it ends. The state goes from one campaign to the next, so each group's are folded in order, in one row.
+    turned down until it ends. The state, a holder, its term and its end, goes from one campaign to the next in the order of (at, n): groups
+    are partitions' runs of sorted rows, which stream through a fold, whatever their number and length.
     """
-    events = F.array_sort(F.collect_list(F.struct("at", "n", "node_id")))
-    start = F.struct(F.lit("").alias("holder"), F.lit(0).cast("long").alias("term"), F.lit(-1).cast("long").alias("ends"), F.array().cast("array<struct<n: bigint, node_id: string, won: boolean, term: bigint>>").alias("log"))
 
-    def step(s, e):
-        live = e["at"] < s["ends"]
-        won = ~live | (s["holder"] == e["node_id"])
-        term = s["term"] + F.when(won & (~live | (s["holder"] != e["node_id"])), 1).otherwise(0)
-        row = F.struct(e["n"].cast("long").alias("n"), e["node_id"].alias("node_id"), won.alias("won"), F.when(won, term).otherwise(F.lit(0)).cast("long").alias("term"))
-        return F.struct(F.when(won, e["node_id"]).otherwise(s["holder"]).alias("holder"), term.cast("long").alias("term"), F.when(won, e["at"] + duration).otherwise(s["ends"]).cast("long").alias("ends"), F.concat(s["log"], F.array(row)).alias("log"))
-
-    folded = campaigns.groupBy(by).agg(events.alias("e")).select(by, F.aggregate("e", start, step)["log"].alias("log"))
-    return folded.select(by, F.explode("log").alias("x")).select(by, "x.n", "x.node_id", "x.won", "x.term")
+    def run(batches):
+        at_group, holder, term, ends = object(), None, 0, 0
+        for batch in batches:
+            group, at, node = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            won, terms = [], []
+            for g, t, who in zip(group, at, node, strict=True):
+                if g != at_group:
+                    at_group, holder, term, ends = g, None, 0, -1
+                live = t < ends
+                ok = not live or who == holder
+                if ok:
+                    term += not live
+                    holder, ends = who, t + duration
+                won.append(ok)
+                terms.append(term if ok else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(won, pa.bool_()), pa.array(terms, pa.int64())], [by, "n", "node_id", "won", "term"])
+
+    kind = dict(campaigns.dtypes)[by]
+    rows = campaigns.select(by, F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "node_id")
+    return rows.repartition(by).sortWithinPartitions(by, "at", "n").mapInArrow(run, f"`{by}` {kind}, n long, node_id string, won boolean, term long")
+
+
+def held(elected: DataFrame, campaigns: DataFrame, duration: int, now: int, by: str = "group_id") -> DataFrame:
+    """(by, holder, term, live): the last holder of each group and whether its lease runs at now."""
+    won = elected.filter("won").join(campaigns.select(by, "n", "at"), [by, "n"]).filter(F.col("at") <= now)
+    last = won.groupBy(by).agg(F.max_by(F.struct("node_id", "term", "at"), F.struct("at", "n")).alias("x"))
+    return last.select(by, F.col("x.node_id").alias("holder"), F.col("x.term").alias("term"), (F.col("x.at") + duration > now).alias("live"))
 
 
 def quorum(acks: DataFrame) -> DataFrame:
@@ -65,11 +83,13 @@ def quorum(acks: DataFrame) -> DataFrame:
 
 
 def catch_up(source: DataFrame, targets: DataFrame, committed: DataFrame) -> DataFrame:
-    """How each target (replica_id, committed, applied) reaches a source whose log (offset) may have lost its beginning:
-    committed is one row (committed, floor). Returns replica_id, action (ahead, none, entries or snapshot), dropped and sent."""
-    s = targets.crossJoin(committed.select(F.col("committed").alias("goal"), "floor"))  # one row
-    n = source.join(targets.select("replica_id", "committed"), source["offset"] > targets["committed"]).crossJoin(committed.select(F.col("committed").alias("goal"))).filter("offset <= goal").groupBy("replica_id").agg(F.count(F.lit(1)).alias("sent"))
+    """How each target (replica_id, committed, applied) reaches a source whose log (offset, gapless) may have lost its beginning:
+    committed is one row (committed, floor). Returns replica_id, action (ahead, none, entries or snapshot), dropped and sent. The log is
+    looked at once, for where it ends: entries between two offsets are as many as their difference."""
+    ends = source.agg(F.min("offset").alias("first"), F.max("offset").alias("last"))  # one row
+    s = targets.crossJoin(committed.select(F.col("committed").alias("goal"), "floor")).crossJoin(ends)  # one row each
+    sent = F.greatest(F.lit(0), F.coalesce(F.least("goal", "last") - F.greatest(F.col("committed"), F.col("first") - 1), F.lit(0)))
     action = F.when(F.col("committed") > F.col("goal"), "ahead").when(F.col("committed") == F.col("goal"), "none").when(F.col("committed") < F.col("floor"), "snapshot").otherwise("entries")
-    out = s.join(n, "replica_id", "left").withColumn("action", action)
+    out = s.withColumn("action", action)
     moved = F.col("action").isin("entries", "snapshot")
-    return out.select("replica_id", "action", F.when(moved, F.greatest(F.col("applied") - F.col("committed"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("dropped"), F.when(F.col("action") == "entries", F.coalesce("sent", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("sent"))
+    return out.select("replica_id", "action", F.when(moved, F.greatest(F.col("applied") - F.col("committed"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("dropped"), F.when(F.col("action") == "entries", sent).otherwise(F.lit(0)).cast("long").alias("sent"))

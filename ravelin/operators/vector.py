@@ -28,77 +28,131 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm(v))
 
 
-def top_k(items: DataFrame, queries: DataFrame, k: int, by: list[str] | None = None, block: int = 512) -> DataFrame:
+#: Queries of a block, which goes to the tasks whole.
+BLOCK = 2048
+
+
+def top_k(items: DataFrame, queries: DataFrame, k: int, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, by, doc_id, score, rank): the k items (doc_id, vector, by) of greatest cosine to each query
-    (query_id, vector), for each value of by if there are such columns.
+    (query_id, vector), for each value of by if there are such columns. Vectors that are zero or not finite are no one's neighbours.
 
-    Queries go in blocks of `block`. A task multiplies its items with a block's matrix and keeps k
-    candidates of each query, so what is shuffled is k rows a query and task, not all pairs.
+    Queries go in blocks of `block`, each a matrix that tasks get once by a broadcast of that many vectors. A task multiplies its items,
+    batch by batch, and keeps k candidates of each query and batch, so what is shuffled is a few rows a query and task, not all pairs. Items stay where
+    they are; each block reads them again.
     """
     by = by or []
-
-    def pack(table: pa.Table) -> pa.Table:
-        m = np.array(table.column("vector").to_pylist(), np.float64)
-        return pa.table({"ids": pa.array([table.column("query_id").to_pylist()]), "matrix": pa.array([m.tobytes()], pa.binary())})
-
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(queries.count()) / block).cast("long"))).groupBy("block").applyInArrow(pack, "ids array<string>, matrix binary")
-    packed = packed.withColumn("block", F.monotonically_increasing_id())
-
-    def local(batches):
-        for pdf in batches:
-            for _, part in pdf.groupby(["block", *by], sort=False):
-                ids, m = part["ids"].iloc[0], np.frombuffer(part["matrix"].iloc[0], np.float64)
-                x = np.array(part["vector"].tolist(), np.float64)
-                if not len(ids):
-                    continue
-                m = m.reshape(len(ids), -1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    cos = (m / np.linalg.norm(m, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                names = part["doc_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(names.astype(str), cos.shape), -np.round(cos, 9)), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                out = {"query_id": np.asarray(ids, object)[rows], "doc_id": names[order.ravel()], "score": cos[rows, order.ravel()]}
-                yield pd.DataFrame(out | {c: part[c].iloc[0] for c in by})[["query_id", *by, "doc_id", "score"]]
-
+    spark = items.sparkSession
     types = dict(items.dtypes)
-    pairs = items.select(*by, "doc_id", "vector").crossJoin(packed)  # items with each block of queries
     schema = "query_id string, " + "".join(f"{c} {types[c]}, " for c in by) + "doc_id string, score double"
-    return ranked(pairs.mapInPandas(local, schema), ["query_id", *by], k)
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
+    blocks = max(1, -(-asked.count() // block))
+
+    def near(sent):
+        def local(batches):
+            ids, m = sent.value
+            for pdf in batches:
+                for _, part in pdf.groupby(by, sort=False, dropna=False) if by else ((None, pdf),):
+                    x = np.array(part["vector"].tolist(), np.float64).reshape(len(part), -1)
+                    size = np.linalg.norm(x, axis=1)
+                    part, x, size = (v[np.isfinite(size) & (size > 0)] for v in (part, x, size))
+                    if not len(part) or not len(ids):
+                        continue
+                    cos = m @ (x / size[:, None]).T
+                    names = part["doc_id"].to_numpy()
+                    key = np.round(cos, 9)
+                    if cos.shape[1] > 4 * k:  # ties at the edge stay in
+                        edge = -np.partition(-key, k - 1, axis=1)[:, k - 1 : k]
+                        rows, cols = np.nonzero(key >= edge)
+                    else:
+                        rows, cols = (v.ravel() for v in np.indices(cos.shape))
+                    order = np.lexsort((names[cols].astype(str), -key[rows, cols], rows))
+                    rows, cols = rows[order], cols[order]
+                    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                    rows, cols = rows[place < k], cols[place < k]
+                    out = {"query_id": ids[rows], "doc_id": names[cols], "score": cos[rows, cols]}
+                    yield pd.DataFrame(out | {c: [part[c].iloc[0]] * len(rows) for c in by})[["query_id", *by, "doc_id", "score"]]
+
+        return local
+
+    found = None
+    some = asked.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    for b in range(blocks):
+        rows = [(r["query_id"], r["vector"]) for r in some.filter(F.col("b") == b).collect()]  # about `block` vectors
+        rows = [(q, v) for q, v in rows if v is not None and np.isfinite(n := np.linalg.norm(np.array(v, np.float64))) and n > 0]
+        m = np.array([v for _, v in rows], np.float64).reshape(len(rows), -1)
+        m = m / np.linalg.norm(m, axis=1, keepdims=True) if len(rows) else m
+        part = items.select(*by, "doc_id", "vector").filter(F.col("vector").isNotNull()).mapInPandas(near(spark.sparkContext.broadcast((np.array([q for q, _ in rows], object), m))), schema)
+        found = part if found is None else found.unionByName(part)
+    return ranked(found, ["query_id", *by], k)
 
 
 WORDS = regex.compile(r"[\p{L}\p{N}]+")
+_PRIME = np.uint64(0x100000001B3)
 
 
-def _fnv(b: bytes) -> int:
-    h = 0xCBF29CE484222325
+def _fnv(b: bytes, h: int = 0xCBF29CE484222325) -> int:
     for x in b:
         h = (h ^ x) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
     return h
 
 
+def _fnv_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, prefix: bytes) -> np.ndarray:
+    """FNV-1a of prefix and each span of data, all spans a byte at a time."""
+    h = np.full(len(begin), _fnv(prefix), np.uint64)
+    order = np.argsort(begin - end, kind="stable")  # the longest first
+    b, n = begin[order], (end - begin)[order]
+    out = h[order]
+    for i in range(int(n[0]) if len(n) else 0):
+        w = int(np.searchsorted(-n, -i, "left"))
+        out[:w] = (out[:w] ^ data[b[:w] + i]) * _PRIME
+    h[order] = out
+    return h
+
+
+def word_features(words: list[str], dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots and signed weights of the features of each word, one after the other, and where each word's begin, with the end."""
+    data = np.frombuffer("".join(f"^{w}$" for w in words).encode(), np.uint8)
+    char = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    chars = np.array([len(w) + 2 for w in words], np.int64)
+    first = np.cumsum(chars) - chars
+    grams = chars - 2
+    to = np.concatenate([np.zeros(1, np.int64), np.cumsum(grams + 1)])  # the word itself, then its grams
+    at = np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams) + np.repeat(first, grams)
+    h = np.empty(int(to[-1]), np.uint64)
+    h[to[:-1]] = _fnv_spans(data, char[first] + 1, char[first + chars] - 1, b"word:")
+    rest = np.ones(len(h), bool)
+    rest[to[:-1]] = False
+    h[rest] = _fnv_spans(data, char[at], char[at + 3], b"gram:")
+    weight = np.where(rest, 0.5, 2.0)
+    return (h % np.uint64(dims)).astype(np.int64), np.where(h >> np.uint64(63), -weight, weight), to
+
+
 def hash_embed(texts: pd.Series, dims: int = 256) -> list[np.ndarray]:
-    """Bags of signed features: words weigh 2, trigrams of ^word$ a half, slot 0 has 1. Sums are exact."""
-    memo: dict[str, np.ndarray] = {}
-
-    def word(w: str) -> np.ndarray:
-        if w not in memo:
-            v = np.zeros(dims)
-            edged = f"^{w}$"
-            for name, x in [(f"word:{w}", 2.0), *((f"gram:{edged[i : i + 3]}", 0.5) for i in range(len(edged) - 2))]:
-                h = _fnv(name.encode())
-                v[h % dims] += -x if h >> 63 else x
-            memo[w] = v
-        return memo[w]
-
-    out = []
-    for t in texts:
-        v = np.zeros(dims)
-        v[0] = 1.0
-        for w in WORDS.findall("".join("i" if c == "İ" else c.lower() for c in t or "") if t and not t.isascii() else (t or "").lower()):
-            v += word(w)
-        out.append(v)
-        if len(memo) > 20_000:
-            memo.clear()
+    """Bags of signed features: words weigh 2, trigrams of ^word$ a half, slot 0 has 1. Sums are exact. Features are made once for each
+    distinct word of a few hundred texts."""
+    out: list[np.ndarray] = []
+    for a in range(0, len(texts), 256):
+        some = texts.iloc[a : a + 256]
+        seen: dict[str, int] = {}
+        tokens: list[int] = []
+        n = []
+        for t in some:
+            t = t or ""
+            words = WORDS.findall(t.lower() if t.isascii() else "".join("i" if c == "\u0130" else c.lower() for c in t))
+            tokens += [seen.setdefault(w, len(seen)) for w in words]
+            n.append(len(words))
+        v = np.zeros(len(some) * dims)
+        if seen:
+            slot, weight, to = word_features(list(seen), dims)
+            # Words of a text, with how often each is there.
+            pair, times = np.unique(np.repeat(np.arange(len(some)), n) * len(seen) + np.array(tokens), return_counts=True)
+            doc, word = pair // len(seen), pair % len(seen)
+            size = np.diff(to)[word]
+            f = np.arange(size.sum()) + np.repeat(to[word] - np.cumsum(size) + size, size)
+            v = np.bincount(np.repeat(doc * dims, size) + slot[f], weight[f] * np.repeat(times, size), len(v))
+        v = v.reshape(-1, dims)
+        v[:, 0] += 1.0
+        out += list(v)
     return out
 
 
@@ -107,7 +161,7 @@ def embed(df: DataFrame, text: Column, dims: int = 256, name: str = "vector") ->
 
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(hash_embed(s, dims))
+        return pd.Series(hash_embed(s, dims), dtype=object)
 
     return df.withColumn(name, run(text))
 
@@ -116,6 +170,8 @@ class Graph:
     """A hierarchical proximity graph built in id order: ids set the levels, so equal items give equal graphs."""
 
     def __init__(self, ids: list[str], x: np.ndarray, m: int = 16, width: int = 100):
+        if m < 2 or width < m:
+            raise ValueError("a node has two neighbours at least, and construction is as wide as they are many")
         self.ids, self.x, self.m, self.width = ids, x / np.linalg.norm(x, axis=1, keepdims=True), m, width
         self.levels = [min(16, ((h & -h).bit_length() - 1) // 2 if (h := _fnv(i.encode())) else 16) for i in ids]
         self.near: list[list[list[int]]] = [[[] for _ in range(n + 1)] for n in self.levels]
@@ -166,6 +222,8 @@ class Graph:
 
     def search(self, q: np.ndarray, k: int, width: int = 40) -> list[tuple[str, float]]:
         """The k found of greatest cosine; k = 0 gives as many as the beam holds."""
+        if width < 1 or k < 0:
+            raise ValueError("a search is one wide at least, and k is not negative")
         if self.entry < 0:
             return []
         q = q / np.linalg.norm(q)
