@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.text import tokens
+from ravelin.sources.shared import fresh_folder
 
 K1, B, TITLE, BODY = 1.2, 0.75, 2.5, 1.0
+#: Distinct query terms that are looked for in each document's own row; more are joined with its postings.
+MOST = 64
 
 
 def analyzed(docs: DataFrame, nfkc: bool = False) -> DataFrame:
@@ -53,6 +56,21 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def _slim(words: DataFrame, named: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Postings with lengths, and stats(). Texts are tokenised once: a row a document, with its lengths and its tokens of a few named
+    terms, goes to the shared folder, from where both are counted. A document's postings come from its own row, without a shuffle."""
+    wanted = F.array(*map(F.lit, named)) if named else F.array().cast("array<string>")
+    own = lambda c: F.filter(c, lambda t: F.array_contains(wanted, t))
+    slim = words.select("collection_id", "doc_id", F.size("title_tokens").cast("long").alias("len_title"), F.size("body_tokens").cast("long").alias("len_body"), own("title_tokens").alias("t"), own("body_tokens").alias("b"))
+    path = fresh_folder(words.sparkSession, "tokens")
+    slim.write.parquet(path)
+    slim = words.sparkSession.read.schema(slim.schema).parquet(path)
+    size = slim.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len_title").alias("avg_title"), F.avg("len_body").alias("avg_body"))
+    n = lambda c: F.size(F.filter(c, lambda t: t == F.col("term"))).cast("long")
+    post = slim.select("*", F.explode(F.array_union("t", "b")).alias("term")).select("collection_id", "doc_id", "len_title", "len_body", "term", n("t").alias("tf_title"), n("b").alias("tf_body"))
+    return post, size
+
+
 def search(docs: DataFrame, queries: DataFrame, mode: str = "any", limit: int = 0, nfkc: bool = False) -> DataFrame:
     """(query_id, collection_id, doc_id, score, rank) for all queries at once.
 
@@ -63,9 +81,13 @@ def search(docs: DataFrame, queries: DataFrame, mode: str = "any", limit: int =
         raise ValueError("mode is any or all, and limit is not negative")
     words = analyzed(docs.filter(F.trim("doc_id") != ""), nfkc)
     terms = query_terms(queries, nfkc)
-    post = postings(words, terms)
+    named = [r["term"] for r in terms.select("term").distinct().limit(MOST + 1).collect()]
+    if len(named) <= MOST:
+        post, size = _slim(words, named)
+    else:
+        post, size = postings(words, terms).join(lengths(words), ["collection_id", "doc_id"]), stats(words)
     df = post.groupBy("collection_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    scored = post.join(lengths(words), ["collection_id", "doc_id"]).join(df, ["collection_id", "term"]).join(stats(words), "collection_id")
+    scored = post.join(df, ["collection_id", "term"]).join(size, "collection_id")
     weight = idf(F.col("n"), F.col("df")) * (TITLE * saturated(F.col("tf_title"), F.col("len_title"), F.col("avg_title")) + BODY * saturated(F.col("tf_body"), F.col("len_body"), F.col("avg_body")))
     hits = scored.select("collection_id", "doc_id", "term", weight.alias("w")).join(terms, "term").groupBy("query_id", "collection_id", "doc_id").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("found"), F.first("n_terms").alias("n_terms"))
     if mode == "all":
