@@ -355,6 +355,23 @@ def _unexplained(work: DataFrame, texts: DataFrame) -> DataFrame:
     return _tiles(small, texts)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+
+
+def _merged(links: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links, and the classes they make."""
+    links = found if links is None else materialize(links.unionByName(found), "all")
+    return links, components(links)
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (rep, lead) whose ends are not of one class."""
+    x = pairs.join(labels.select(F.col("node").alias("rep"), F.col("comp").alias("c")), "rep", "left")
+    x = x.join(labels.select(F.col("node").alias("lead"), F.col("comp").alias("d")), "lead", "left")
+    return x.filter(F.coalesce("c", "rep") != F.coalesce("d", "lead")).select("rep", "lead")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, the least doc_id of its near-duplicate class, of each document.
 
@@ -378,7 +395,7 @@ def classes(docs: DataFrame) -> DataFrame:
         # Only buckets of several classes have something to compare; those that have led are done with every other.
         order = -F.col("weight") if turn < ROUNDS - 1 else F.xxhash64("rep")
         open_ = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(order.alias("order"), "rep", "comp", "words")).alias("lead")).filter("low <> high")
-        open_ = open_.select("bucket", "n", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("lead_comp"), F.col("lead.words").alias("lead_words"))
+        open_ = open_.select("bucket", "n", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("lead_comp"), F.col("lead.words").alias("lead_words"), F.col("lead.order").alias("order"))
         work = materialize(with_table(left, open_), "work")
         if not work.limit(1).count():
             break
@@ -386,12 +403,15 @@ def classes(docs: DataFrame) -> DataFrame:
             found = _unexplained(work.select("bucket", "rep", "comp", F.col("words").alias("n"), F.col("n").alias("size")), texts)
         else:
             near = F.least("words", "lead_words") >= F.ceil(LIKE * F.greatest("words", "lead_words") - 1e-9)
-            pairs = work.filter((F.col("comp") != F.col("lead_comp")) & near).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-            found = _verify(pairs, texts)
+            pairs = materialize(work.filter((F.col("comp") != F.col("lead_comp")) & near).groupBy("rep", "lead").agg(F.min("order").alias("order")), "pairs")
+            # Each member meets its first leader; then only pairs that are not of one class yet meet, so that a large group has few links.
+            found = materialize(_verify(_ordered(pairs.groupBy("rep").agg(F.min_by("lead", F.struct("order", "lead")).alias("lead"))), texts), "found")
+            if found.limit(1).count():
+                links, labels = _merged(links, found)
+            found = _verify(_ordered(pairs if labels is None else _apart(pairs, labels)), texts)
         found = materialize(found.distinct(), "found")
         if found.limit(1).count():
-            links = found if links is None else materialize(links.unionByName(found), "all")
-            labels = components(links)
+            links, labels = _merged(links, found)
         if turn < ROUNDS:
             left = work.filter("rep <> lead").select("bucket", "rep", "words", "weight", "comp")
             if labels is not None:
