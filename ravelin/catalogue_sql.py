@@ -145,8 +145,8 @@ select policy, count(*) as cases, round(avg(rq), 6) as mean_quality, (sum(lat)::
     "log_replay": f"with {_LOG}, l as (select *, row_number() over (partition by collection_id, doc_id order by seq desc) as r from log join com using (collection_id) where seq <= committed) select collection_id, doc_id, seq, body from l where r = 1 and op <> 'delete'",
     "log_truncate": f"with {_LOG}, c as (select log.*, seq - lag(seq) over (partition by collection_id order by seq) as d from log join com using (collection_id) where seq > committed // 3) select collection_id, count(*) as entries, min(seq) as low, max(seq) as high, count(*) filter (d <> 1) as gaps from c group by 1",
     "segment_documents": f"with {_LOG}, {_SEG}, l as (select *, row_number() over (partition by collection_id, doc_id order by generation desc) as z from seg) select collection_id, doc_id, seq, generation from l where z = 1 and op <> 'delete'",
-    "segment_compact": f"""with {_LOG}, {_SEG}, t as (select *, [3, 1, 2][generation % 3 + 1] as gen from seg), l as (select *, row_number() over (partition by collection_id, doc_id order by gen desc, seq desc) as z from t)
-select collection_id, doc_id, 'upsert' as op, seq, 4::bigint as generation from l where z = 1 and op <> 'delete'""",
+    "segment_compact": f"""with {_LOG}, {_SEG}, t as (select *, row_number() over (partition by collection_id, doc_id order by generation desc) as z, max(generation) over () + 1 as next from seg)
+select collection_id, doc_id, 'upsert' as op, seq, next as generation from t where z = 1 and op <> 'delete'""",
     "lease_active_nodes": f"with {_LEASE} select node_id, ends as expires_at from rg cross join nowt where replaced is null and not gone and ends > now",
     "registry_revision": f"with {_LEASE}, c as (select count(*) as registered, count(*) filter (gone) as deregistered, count(*) filter (not gone and ends <= coalesce(replaced, now)) as expired from rg cross join nowt) select *, registered + deregistered + expired as revision from c",
     "election_terms": """with recursive c as (select user_id % 4 as group_id, event_id as n, 'n' || (user_id % 3)::varchar as node_id, floor(epoch(ts))::bigint as sec, row_number() over (partition by user_id % 4 order by floor(epoch(ts)), event_id) as i from events where event_type = 'signup'),
