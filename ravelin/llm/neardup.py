@@ -28,8 +28,10 @@ K, ELL, BANDS, LIKE = 5, 2, 24, 0.8
 ROUNDS, TILE = 3, 256
 #: Words of the texts of a tile, but for one longer text.
 WORDS = 200_000
-#: Counters that say how rare words are, of a fixed size whatever the input.
-COUNTERS = 1 << 18
+#: Counters that say how rare words are, of a fixed size whatever the input, and the spans of them that are added up apart.
+COUNTERS, SPANS = 1 << 22, 64
+#: What a counter has: hits, the least and the greatest class.
+COUNTED = "span int, salt int, at binary, n binary, low binary, high binary"
 #: Buckets of more members than HOT are joined by a broadcast of at most MANY of them.
 HOT, MANY = 1000, 100_000
 MOST = U64(2**64 - 1)
@@ -230,27 +232,56 @@ def with_table(rows: DataFrame, table: DataFrame) -> DataFrame:
     return cold.unionByName(marked.filter("hot").drop("hot").join(F.broadcast(hot), "bucket"))
 
 
-def _counters(total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"n": pa.array([total.tobytes()], pa.binary())})
+def _places(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two counters of each value."""
+    down = U64(65 - COUNTERS.bit_length())
+    return (g >> down).astype(np.int64), (mix(g) >> down).astype(np.int64)
 
 
-def _added(batches):
-    """One row of counters of a task's rows."""
-    total, some = np.zeros(COUNTERS, np.int64), False
+def _no_hits(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(size, np.int64), np.full(size, 2**63 - 1), np.full(size, -(2**63))
+
+
+def _hit_rows(span: int, n: np.ndarray, low: np.ndarray, high: np.ndarray, salt: int):
+    """One row of the counters of a span that were hit, if any was."""
+    at = np.flatnonzero(n)
+    if len(at):
+        arrays = {"at": at.astype(np.int32), "n": n[at], "low": low[at], "high": high[at]}
+        yield pa.RecordBatch.from_pydict({"span": pa.array([span], pa.int32()), "salt": pa.array([salt], pa.int32())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in arrays.items()})
+
+
+def _summed(batches) -> dict:
+    """The counters of each span of a task's rows."""
+    spans: dict = {}
     for batch in batches:
-        for x in batch.column(0):
-            some = True
-            total += np.frombuffer(x.as_buffer(), np.int64)
-    if some:
-        yield _counters(total)
+        for row in batch.to_pylist():
+            n, low, high = spans.setdefault(row["span"], _no_hits(COUNTERS // SPANS))
+            at = np.frombuffer(row["at"], np.int32)
+            n[at] += np.frombuffer(row["n"], np.int64)
+            low[at] = np.minimum(low[at], np.frombuffer(row["low"], np.int64))
+            high[at] = np.maximum(high[at], np.frombuffer(row["high"], np.int64))
+    return spans
+
+
+def _added(batches):
+    for span, of in _summed(batches).items():
+        yield from _hit_rows(span, *of, 0)
+
+
+def _levels(batches):
+    """span, level: 0 where a counter's hits are of one class, or else their number, 255 at most."""
+    for span, (n, low, high) in _summed(batches).items():
+        level = np.where(low == high, 0, np.minimum(n, 255)).astype(np.uint8)
+        yield pa.RecordBatch.from_pydict({"span": pa.array([span], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
 
 
 def rarest(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """(bucket, rep, comp, n): the reps (rep, comp, n) by those of their rarest words that another one may have as well.
 
     Two multisets of n and m values with LIKE of the greater number in common share one of the first n - LIKE n + 1 of the one and
-    as many of the other, by any order of the values. The order is by how often a value's counter was hit, then by value. A value whose
-    counter was hit once is in no other text.
+    as many of the other, by any order of the values. Values of one class come first: they take up places but no row, as they are in no text
+    of another class. A value is of one class if one of its two counters was hit by one class only. The others are in the order of how often
+    the counters were hit, then by value.
     """
     src = texts.withColumnRenamed("doc_id", "rep").join(reps, "rep").select("rep", "comp", "n", "text")
 
@@ -259,29 +290,38 @@ def rarest(reps: DataFrame, texts: DataFrame) -> DataFrame:
         return [labelled(h[first[i] : first[i + 1]]) for i in range(part.num_rows)]
 
     def hits(batches):
-        total, some = np.zeros(COUNTERS, np.int64), False
+        n, low, high = _no_hits(COUNTERS)
+        some, salt = 0, 0
         for batch in batches:
             for part in blocks(batch, 1 << 20):
-                some = True
-                total += np.bincount((np.concatenate(values(part)) >> U64(46)).astype(np.int64), minlength=COUNTERS)
-        if some:
-            yield _counters(total)
+                sets = values(part)
+                comp = part.column(part.schema.get_field_index("comp")).to_numpy()
+                some, salt = some + part.num_rows, int(comp[0]) % 32
+                comp = np.repeat(comp, [len(v) for v in sets])
+                for at in _places(np.concatenate(sets)):
+                    np.add.at(n, at, 1)
+                    np.minimum.at(low, at, comp)
+                    np.maximum.at(high, at, comp)
+        size = COUNTERS // SPANS
+        for span in range(SPANS if some else 0):
+            yield from _hit_rows(span, *(x[span * size : (span + 1) * size] for x in (n, low, high)), salt)
         release()
 
     spark = src.sparkSession
-    counts = src.select("text").mapInArrow(hits, "n binary")
-    for parts in (int(spark.conf.get("spark.sql.shuffle.partitions")), 8):  # a row a task, then fewer, of COUNTERS numbers each
-        counts = counts.repartition(parts).mapInArrow(_added, "n binary")
-    often = sum((np.frombuffer(r["n"], np.int64) for r in counts.toLocalIterator()), np.zeros(COUNTERS, np.int64))
-    often = spark.sparkContext.broadcast(np.minimum(often, 2**31 - 1).astype(np.int32))  # four bytes a counter
+    counts = src.select("comp", "text").mapInArrow(hits, COUNTED)
+    counts = counts.repartition("span", "salt").mapInArrow(_added, COUNTED).repartition("span").mapInArrow(_levels, "span int, level binary")
+    often = np.zeros((SPANS, COUNTERS // SPANS), np.uint8)
+    for r in counts.collect():  # a byte a counter
+        often[r["span"]] = np.frombuffer(r["level"], np.uint8)
+    often = spark.sparkContext.broadcast(often.reshape(-1))
 
     def first_values(part: pa.RecordBatch) -> dict:
         c = often.value
         rows, keys = [], []
         for i, g in enumerate(values(part)):
-            f = c[(g >> U64(46)).astype(np.int64)]
+            f = np.minimum(*(c[at] for at in _places(g)))
             at = np.lexsort((g, f))[: len(g) - needed(len(g), len(g)) + 1]
-            at = at[f[at] > 1]
+            at = at[f[at] > 0]
             rows.append(np.full(len(at), i))
             keys.append(g[at])
         i = pa.array(np.concatenate(rows))
