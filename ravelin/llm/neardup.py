@@ -25,9 +25,9 @@ from ravelin.llm.shared import map_texts, materialize, release, ship
 from ravelin.llm.text import BASE, U64, blocks, column, gram_hashes, inside, mix, owners, prefix_sums, raw, span_hashes, word_bounds, word_hashes
 
 K, ELL, BANDS, LIKE = 5, 2, 24, 0.8
-ROUNDS, TILE = 3, 256
+ROUNDS, TILE = 3, 2048
 #: Words of the texts of a tile, but for one longer text.
-WORDS = 200_000
+WORDS = 2_000_000
 #: Counters that say how rare words are, of a fixed size whatever the input, and the spans of them that are added up apart.
 COUNTERS, SPANS = 1 << 22, 64
 #: What a counter has: hits, the least and the greatest class.
