@@ -16,6 +16,8 @@ and compared tile by tile.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ from ravelin.llm.text import BASE, U64, blocks, column, gram_hashes, inside, mix
 
 K, ELL, BANDS, LIKE = 5, 2, 24, 0.8
 ROUNDS, TILE = 3, 2048
+#: Steps that labels take between rounds: classes may come in parts there, which costs comparisons only. The last labels are whole.
+STEPS = 1
 #: Words of the texts of a tile, but for one longer text.
 WORDS = 2_000_000
 #: Counters that say how rare words are, of a fixed size whatever the input, and the spans of them that are added up apart.
@@ -180,20 +184,42 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: int | None = None) -> DataFrame:
     """node, comp of each end of the links (a, b): the least node reachable. Labels spread along links and then jump to
-    the label of their label, until nothing changes."""
+    the label of their label, until nothing changes. After a number of `steps` instead, comp is a node that is reachable, the least one
+    maybe not; the least node's comp is itself even then."""
     ends = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
     labels = materialize(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
-    while True:
+    while steps is None or steps:
         near = ends.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         new = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         up = new.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         new = materialize(new.join(up, "comp", "left").select("node", "old", F.coalesce("top", "comp").alias("comp")), "labels")
-        changed = new.filter("old <> comp").limit(1).count()
         labels = new.select("node", "comp")
-        if not changed:
-            return labels
+        if steps is not None:
+            steps -= 1
+        elif not new.filter("old <> comp").limit(1).count():
+            break
+    return labels
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links (a, b) as links of the comps of their ends, without those inside one."""
+    x = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("c")), "a", "left")
+    x = x.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("d")), "b", "left")
+    return x.select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b")).filter("a <> b")
+
+
+def merged(labels: DataFrame | None, links: DataFrame, steps: int | None = None) -> DataFrame:
+    """labels (node, comp) after further links (a, b): only the comps that links join are labelled anew."""
+    if labels is None:
+        return components(links, steps)
+    between = materialize(_between(links, labels), "between")
+    if not between.limit(1).count():
+        return labels
+    new = components(between, steps)
+    old = labels.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return materialize(old.unionByName(new.join(labels.select("node"), "node", "left_anti").select("node", "comp")), "labels")
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
@@ -399,12 +425,6 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
 
-def _merged(links: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links, and the classes they make."""
-    links = found if links is None else materialize(links.unionByName(found), "all")
-    return links, components(links)
-
-
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (rep, lead) whose ends are not of one class."""
     x = pairs.join(labels.select(F.col("node").alias("rep"), F.col("comp").alias("c")), "rep", "left")
@@ -430,7 +450,7 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = central.select(F.col("rep").alias("doc_id"))
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id"), "texts")
     left = members.withColumn("comp", F.col("rep"))
-    links, labels = None, None
+    links, labels = [], None
     for turn in range(ROUNDS + 1):
         # Only buckets of several classes have something to compare; those that have led are done with every other.
         order = -F.col("weight") if turn < ROUNDS - 1 else F.xxhash64("rep")
@@ -447,17 +467,21 @@ def classes(docs: DataFrame) -> DataFrame:
             # Each member meets its first leader; then only pairs that are not of one class yet meet, so that a large group has few links.
             found = materialize(_verify(_ordered(pairs.groupBy("rep").agg(F.min_by("lead", F.struct("order", "lead")).alias("lead"))), texts), "found")
             if found.limit(1).count():
-                links, labels = _merged(links, found)
+                links.append(found)
+                labels = merged(labels, found, STEPS)
             found = _verify(_ordered(pairs if labels is None else _apart(pairs, labels)), texts)
         found = materialize(found.distinct(), "found")
         if found.limit(1).count():
-            links, labels = _merged(links, found)
+            links.append(found)
+            labels = merged(labels, found, STEPS) if turn < ROUNDS else labels
         if turn < ROUNDS:
             left = work.filter("rep <> lead").select("bucket", "rep", "words", "weight", "comp")
             if labels is not None:
                 left = left.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "words", "weight", F.coalesce("comp", "rep").alias("comp"))
             left = materialize(left, "left")
-    if labels is None:
+    if links:  # what the labels of the rounds left apart
+        labels = merged(labels, reduce(DataFrame.unionByName, links))
+    else:
         labels = exact.select(F.col("rep").alias("node"), F.col("rep").alias("comp"))
     top = exact.select("k1", "k2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("class_id"))
     return sk.select("doc_id", "k1", "k2").join(top, ["k1", "k2"], "left").groupBy("doc_id").agg(F.min(F.coalesce("class_id", "doc_id")).alias("class_id"))

@@ -158,3 +158,28 @@ def test_overlaps_count_multisets():
     got = neardup.overlaps(sets)
     assert got[0, 1] == got[1, 0] == 5
     assert neardup.overlaps([sets[0], sets[0]])[0, 1] == len(a)
+
+
+@pytest.mark.parametrize("steps", [0, 1, None])
+def test_classes_of_links_in_parts(spark, steps):
+    """Labels of a few steps, brought up to date by further links, are whole after all links were seen again."""
+    rng = np.random.default_rng(3)
+    parts = [np.concatenate([rng.integers(0, 120, (25, 2)), [(200 + i, 201 + i) for i in range(k, 40, 3)]]) for k in range(3)]
+    labels = None
+    top = {int(x): int(x) for p in parts for x in p.ravel()}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    tables = [spark.createDataFrame([(int(a), int(b)) for a, b in p], "a long, b long") for p in parts]
+    for p, t in zip(parts, tables):
+        labels = neardup.merged(labels, t, steps)
+        for a, b in p:
+            a, b = sorted((root(int(a)), root(int(b))))
+            top[b] = a
+        assert all(root(r["node"]) == root(r["comp"]) for r in labels.collect())
+    got = {r["node"]: r["comp"] for r in neardup.merged(labels, tables[0].union(tables[1]).union(tables[2])).collect()}
+    met = {int(x) for p in parts for a, b in p if a != b for x in (a, b)}
+    assert met <= set(got) and all(got[x] == root(x) for x in got)
