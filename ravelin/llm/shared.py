@@ -23,8 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        at = tempfile.mkdtemp(prefix="ravelin-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = spark.sparkContext.getCheckpointDir()
+    if not at:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ravelin-"))  # the setting itself can't be changed in a running session
+        at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
