@@ -52,50 +52,79 @@ def publish(segment: DataFrame, path: str) -> int:
     bad = segment.groupBy(*KEY).count().filter("count > 1").limit(1).count()
     if bad or not segment.limit(1).count():
         raise ValueError("a segment has each id once, and one at least")
-    n = max(generations(spark, path), default=0) + 1
+    n = _top(spark, path) + 1
     segment.write.parquet(f"{path}/generation={n:020d}")
     return n
 
 
+#: Neighbouring generations that publish_all writes in one task.
+TOGETHER = 256
+
+
 def publish_all(segments: DataFrame, path: str) -> int:
     """Write the segments of all generations (numbered from 1 by the column `generation`) after those that are there, in one
-    job. Each generation is written aside and then renamed, whole; ids are unique within each."""
+    job. They go to one folder, written aside, checked there and renamed whole, so that files and renames are as many as tasks, not as generations. Rows
+    are in the order of generations, which neighbours share a file; ids are unique within each."""
     spark = segments.sparkSession
-    bad = segments.groupBy(*KEY, "generation").count().filter("count > 1 or generation is null or generation < 1").limit(1).count()
-    if bad or not segments.limit(1).count():
-        raise ValueError("a segment has each id once, and one at least")
-    base = max(generations(spark, path), default=0)
+    base = _top(spark, path)
     aside = f"{path}/aside-{uuid.uuid4().hex}"
-    named = segments.withColumn("generation", F.format_string("%020d", F.col("generation").cast("long") + base))
-    named.repartition("generation").write.partitionBy("generation").parquet(aside)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(aside)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = sorted((s.getPath() for s in fs.listStatus(at) if s.isDirectory()), key=lambda p: p.getName())
-    for p in parts:
-        fs.create(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")).close()
-        if not fs.rename(p, jvm.org.apache.hadoop.fs.Path(path, p.getName())):
-            raise OSError(f"{p.getName()} is there already")
-    fs.delete(at, True)
-    return int(parts[-1].getName().split("=")[1])
+    named = segments.withColumn("generation", F.col("generation").cast("long") + base)
+    named.repartition(F.expr(f"generation div {TOGETHER}")).sortWithinPartitions("generation").write.parquet(aside)
+    got = spark.read.schema(named.schema).parquet(aside)
+    bad = got.groupBy(*KEY, "generation").count().filter(f"count > 1 or generation is null or generation <= {base}").limit(1).count()
+    low, high = got.agg(F.min("generation"), F.max("generation")).first()
+    fs, at = _store(spark, aside)
+    if bad or high is None:
+        fs.delete(at, True)
+        raise ValueError("a segment has each id once, and one at least")
+    name = f"packed-{low:020d}-{high:020d}"
+    if not fs.rename(at, _store(spark, f"{path}/{name}")[1]):
+        raise OSError(f"{name} is there already")
+    return high
 
 
-def generations(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """First and last generation and path of each folder: generation=N has one, packed-N-M those of one publish_all."""
+    fs, at = _store(spark, path)
     if not fs.exists(at):
         return []
-    names = [s.getPath() for s in fs.listStatus(at)]
-    ok = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]  # what never ended is no generation
-    return sorted(int(p.getName().split("=")[1]) for p in ok if p.getName().startswith("generation="))
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    own = [(n, n.removeprefix("generation=").removeprefix("packed-").split("-")) for n in names if n.startswith(("generation=", "packed-"))]
+    ok = [x for x in own if fs.exists(_store(spark, f"{path}/{x[0]}/_SUCCESS")[1])]  # what never ended is no generation
+    return sorted((int(ends[0]), int(ends[-1]), f"{path}/{n}") for n, ends in ok)
+
+
+def _top(spark: SparkSession, path: str) -> int:
+    return max((last for _, last, _ in _folders(spark, path)), default=0)
+
+
+def _packed(spark: SparkSession, folders: list[tuple[int, int, str]]) -> list[str]:
+    return [p for _, _, p in folders if "/packed-" in p[p.rindex("/") :]]
+
+
+def generations(spark: SparkSession, path: str) -> list[int]:
+    folders = _folders(spark, path)
+    packed = _packed(spark, folders)
+    out = [n for n, _, p in folders if p not in packed]
+    return sorted(out + ([r[0] for r in spark.read.parquet(*packed).select("generation").distinct().collect()] if packed else []))
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    parts = [f"{path}/generation={n:020d}" for n in generations(spark, path)]
-    if not parts:
+    folders = _folders(spark, path)
+    if not folders:
         raise ValueError(f"no generation has been published at {path}")
-    return spark.read.option("basePath", path).parquet(*parts).withColumn("generation", F.col("generation").cast("long"))
+    packed = _packed(spark, folders)
+    single = [p for _, _, p in folders if p not in packed]
+    parts = [spark.read.parquet(*packed)] if packed else []
+    if single:
+        parts.append(spark.read.option("basePath", path).parquet(*single).withColumn("generation", F.col("generation").cast("long")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def segment_documents(segments: DataFrame) -> DataFrame:
