@@ -48,7 +48,7 @@ def snippet(content: Column, most: int = 180) -> Column:
 def clean_list(values: Column, ordered: bool = False) -> Column:
     """Trimmed, without empty ones and repeats; sorted if asked."""
     out = F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
-    return F.array_sort(out) if ordered else out
+    return F.sort_array(out) if ordered else out  # no nulls are left
 
 
 def query_features(q: Column) -> dict[str, Column]:

@@ -4,7 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from ravelin.operators import changelog
+from ravelin import catalogue
+from ravelin.operators import changelog, requests
 
 
 def test_generations_share_files(spark, tmp_path):
@@ -20,3 +21,20 @@ def test_generations_share_files(spark, tmp_path):
     read = changelog.read_segments(spark, path)
     assert read.count() == 2030 and read.filter("generation = 400").count() == 10
     assert not [n for n in os.listdir(path) if n.startswith("aside")]
+
+
+def test_claims_are_parsed_once(spark, sf):
+    plan = catalogue.QUERIES["token_claims"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2  # the claims, and an audience that is a list
+
+
+def test_tokens_of_other_shapes(spark):
+    """Without a dot, null, not base64, with an audience that only looks like a list."""
+    import base64
+    import json
+
+    claims = lambda aud: "h." + base64.urlsafe_b64encode(json.dumps({"sub": "u", "iss": "i", "aud": aud, "exp": 100, "groups": [" b", "a", "b", ""], "scope": "x  y"}).encode()).decode().rstrip("=") + ".s"
+    rows = [(0, "nothing"), (1, None), (2, "h.%%%.s"), (3, claims("s")), (4, claims(["o", "s"])), (5, claims("[s")), (6, claims("o")), (7, claims(None))]
+    got = requests.principals(spark.createDataFrame(rows, "n int, token string"), "i", "s", 50).orderBy("n").collect()
+    assert [r["n"] for r in got if r["error"] is None] == [3, 4] and {r["error"] for r in got} == {None, "invalid token"}
+    assert [(r["subject"], r["groups"], r["scopes"]) for r in got[3:5]] == [("u", ["a", "b"], ["x", "y"])] * 2
