@@ -1,11 +1,13 @@
 """What grows with the input, and what must not."""
 
 import os
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ravelin import catalogue
-from ravelin.operators import changelog, requests
+from ravelin.operators import changelog, evaluate, requests, vector
 
 
 def test_generations_share_files(spark, tmp_path):
@@ -38,3 +40,41 @@ def test_tokens_of_other_shapes(spark):
     got = requests.principals(spark.createDataFrame(rows, "n int, token string"), "i", "s", 50).orderBy("n").collect()
     assert [r["n"] for r in got if r["error"] is None] == [3, 4] and {r["error"] for r in got} == {None, "invalid token"}
     assert [(r["subject"], r["groups"], r["scopes"]) for r in got[3:5]] == [("u", ["a", "b"], ["x", "y"])] * 2
+
+
+def test_graph_finds_copies_and_what_is_far(spark):
+    """One vector six hundred times, at other lengths too, among wide vectors without clusters: every query has its neighbours, copies by id."""
+    x = np.random.default_rng(3).normal(size=(4000, 64))
+    x[::7] = x[0]
+    x[::21] *= 2
+    rows = [(f"{i:05d}", v.tolist()) for i, v in enumerate(x)]
+    items = spark.createDataFrame([*rows, ("zero", [0.0] * 64), ("none", None), ("nan", [float("nan")] * 64)], "doc_id string, vector array<double>")
+    q = items.filter("doc_id like '%50' or doc_id like '%00' or doc_id in ('zero', 'none')").select(F.col("doc_id").alias("query_id"), "vector")
+    got = {r["query_id"]: r["recall"] for r in evaluate.recall(vector.top_k(items, q, 10), vector.graph_top_k(items, q, 10), 10).collect()}
+    assert len(got) == 80 and sum(got.values()) >= 0.95 * 80
+    assert {got[f"{i:05d}"] for i in range(0, 4000, 350)} == {1.0}
+
+
+def test_cosines_in_memory_are_bounded(monkeypatch):
+    """Eight thousand queries by four thousand items, without all products at once, and with the same result however they are cut."""
+    rng = np.random.default_rng(5)
+    m, x = rng.normal(size=(8192, 16)), rng.normal(size=(4096, 16))
+    m, x = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (m, x))
+    x[::5] = x[0]
+    names = np.array([f"{i:04d}" for i in range(len(x))], object)
+    tracemalloc.start()
+    best = vector._Best(10, len(m))
+    best.add(m, x[:3000], names[:3000])
+    best.add(m, x[3000:], names[3000:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # all cosines are 268 MB, and there were five such arrays
+    some = rng.choice(len(m), 50, replace=False)
+    key = np.round(m[some] @ x.T, 9)
+    for q, row in zip(some, key, strict=True):
+        assert best.names[best.rows == q].tolist() == [names[i] for i in np.lexsort((names.astype(str), -row))[:10]]
+    monkeypatch.setattr(vector, "TILE", 1000)
+    again = vector._Best(10, 50)
+    again.add(m[:50], x, names)
+    keep = best.rows < 50
+    assert again.names.tolist() == best.names[keep].tolist()
