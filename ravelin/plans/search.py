@@ -13,8 +13,8 @@ CANDIDATES, DIMS = 40, 256
 
 def vector_search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, dims: int = DIMS) -> DataFrame:
     """(query_id, collection_id, doc_id, score, rank) by cosine of hashed embeddings; a text without words is its bias."""
-    items = vector.embed(docs.select("collection_id", "doc_id", F.concat_ws("\n", "title", "body").alias("text")), F.col("text"), dims)
-    return vector.top_k(items, vector.embed(queries.select("query_id", "text"), F.col("text"), dims), k, ["collection_id"])
+    items = docs.select("collection_id", "doc_id", F.concat_ws("\n", "title", "body").alias("vector"))  # embedded where it is multiplied
+    return vector.top_k(items, vector.embed(queries.select("query_id", "text"), F.col("text"), dims), k, ["collection_id"], vectors=lambda texts: vector.embedded(texts, dims))
 
 
 def search(docs: DataFrame, queries: DataFrame, mode: str, limit: int = 0) -> DataFrame:
