@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -141,6 +143,16 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, by: list[str] | None = N
 
 
 WORDS = regex.compile(r"[\p{L}\p{N}]+")
+_ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+
+
+def text_words(text: str) -> list[str]:
+    """Runs of letters and numbers, in lower case character by character: no final sigma, and dotted I as i."""
+    if text.isascii():
+        return text.encode().translate(_ASCII).decode().split()
+    return WORDS.findall(text.replace("\u0130", "i").replace("\u03a3", "\u03c3").lower())  # lower() treats no other character by what is around it
+
+
 _PRIME = np.uint64(0x100000001B3)
 
 
@@ -187,13 +199,13 @@ def hash_embed(texts: list[str | None], dims: int = 256) -> np.ndarray:
     out = np.zeros((len(texts), dims))
     for a in range(0, len(texts), 256):
         some = texts[a : a + 256]
-        seen: dict[str, int] = {}
+        seen: defaultdict[str, int] = defaultdict()
+        seen.default_factory = seen.__len__
         tokens: list[int] = []
         n = []
         for t in some:
-            t = t or ""
-            words = WORDS.findall(t.lower() if t.isascii() else "".join("i" if c == "\u0130" else c.lower() for c in t))
-            tokens += [seen.setdefault(w, len(seen)) for w in words]
+            words = text_words(t or "")
+            tokens.extend(map(seen.__getitem__, words))
             n.append(len(words))
         if seen:
             slot, weight, to = word_features(list(seen), dims)
@@ -219,7 +231,8 @@ def embed(df: DataFrame, text: Column, dims: int = 256, name: str = "vector") ->
         parts = [hash_embed(s.slice(a, 256).to_pylist(), dims).astype(np.float32).ravel() for a in range(0, len(s), 256)]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * dims), pa.array(np.concatenate([np.empty(0, np.float32), *parts])))
 
-    return df.withColumn(name, run(text))
+    # Otherwise a filter that the optimiser infers from an explode of the vectors would compute them a second time.
+    return df.withColumn(name, run.asNondeterministic()(text))
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

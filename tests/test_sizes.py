@@ -78,3 +78,17 @@ def test_cosines_in_memory_are_bounded(monkeypatch):
     again.add(m[:50], x, names)
     keep = best.rows < 50
     assert again.names.tolist() == best.names[keep].tolist()
+
+
+def test_words_of_texts_are_folded_by_character():
+    """The quick way for each text gives what one character at a time gives, for every character and beside sigma and dotted I."""
+    slow = lambda t: vector.WORDS.findall("".join("i" if c == "İ" else c.lower() for c in t))
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    texts = ["", "A-b_C 9z\x85", "\x00\x1c\x1f a\tB", bytes(range(128)).decode(), "ΟΔΥΣΣΕΥΣ ΑΣ. İIıİ ÀΣ", every, every[::-1], "Σ".join(every[:3000])]
+    for t in texts:
+        assert vector.text_words(t) == slow(t)
+
+
+def test_texts_are_embedded_once(spark, sf):
+    plan = catalogue.QUERIES["hash_embed_features"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
