@@ -62,7 +62,8 @@ def lexical_field_stats(spark, sf):
 @query
 def doc_frequency(spark, sf):
     """A-01, A-02, O-22: postings summed up by term."""
-    return lexical.postings(lexical.analyzed(src.corpus(spark, sf))).groupBy("collection_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf_title").alias("tf_title"), F.sum("tf_body").alias("tf_body"))
+    docs = src.corpus(spark, sf).repartition("collection_id", "doc_id")  # whole texts are dealt, so postings, which are larger, are not
+    return lexical.postings(lexical.analyzed(docs)).groupBy("collection_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf_title").alias("tf_title"), F.sum("tf_body").alias("tf_body"))
 
 
 def _lex(spark, sf, mode, limit):

@@ -92,3 +92,10 @@ def test_words_of_texts_are_folded_by_character():
 def test_texts_are_embedded_once(spark, sf):
     plan = catalogue.QUERIES["hash_embed_features"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_postings_are_not_dealt(spark, sf):
+    """No exchange by document and term: what goes over the network is whole texts and counts of terms."""
+    plan = catalogue.QUERIES["doc_frequency"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2 and not any("doc_id" in line and "term" in line.split("hashpartitioning(")[1].split(")")[0] for line in dealt)
